@@ -15,11 +15,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import GEO_KEYS, MIN_PATIENTS
-from ..functions import risk_band, round_to
-from .features import category_text, is_scorable, require_features
+from ..functions import risk_band, round_to, sql_text
+from .features import category_sql, filled_sql, is_scorable, require_features
 from .filters import having_min, not_null
+from .joins import BROADCAST_ROWS
 from .model import RiskModel
-from .scoring import CASE_CATEGORIES, category_lookup, linear_weights, scaled, score
+from .scoring import (
+    MAP_CATEGORIES, drop_helpers, factor_sql, linear_terms, linear_weights, scaled_sql, score, top_entries,
+)
 
 
 class CohortSums:
@@ -48,8 +51,8 @@ class CohortSums:
         self.also_required = tuple(also_required)
         # Short category lists are counted as sums of the one aggregate, long ones apart.
         shown = [c for c in model.spec.categorical if c not in GEO_KEYS]
-        self.short = [c for c in shown if len(model.categories[c]) <= CASE_CATEGORIES]
-        self.long = [c for c in shown if len(model.categories[c]) > CASE_CATEGORIES]
+        self.short = [c for c in shown if len(model.categories[c]) <= MAP_CATEGORIES]
+        self.long = [c for c in shown if len(model.categories[c]) > MAP_CATEGORIES]
         # A network needs every row's filled inputs before it can score.
         self.score_first = not model.is_linear
         self._importance = dict(zip(model.feature_names, model.by_feature("mean").tolist()))
@@ -58,54 +61,52 @@ class CohortSums:
     # -- rows to sums
 
     def rows(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """Prepared rows with the flags and numbers the sums are taken over."""
-        require_features(df, self.model.spec)
+        """Prepared rows with a survival flag and the part of the score that is known per row."""
+        model = self.model
+        require_features(df, model.spec)
         if self.score_first:
-            df = score(df, self.model, self.scope, keys, "_known", self.also_required)
+            df = score(df, model, self.scope, keys, "_known", self.also_required)
             return df.withColumn("_alive", F.col("_known").isNotNull())
-        numeric, categorical, _ = linear_weights(self.model)
-        df = df.withColumn("_alive", is_scorable(df, self.model.spec, self.also_required))
-        df, found = category_lookup(df, self.model, categorical, "w")
-        known = F.lit(0.0)
-        for name, weight in numeric.items():
-            value = F.col(name)
-            if self.scope == "training":
-                value = F.coalesce(value.cast("double"), F.lit(self.model.means[name]).cast("double"))
-            known = known + F.coalesce(scaled(self.model, name, value) * F.lit(weight), F.lit(0.0))
-        for col in found.values():
-            known = known + F.coalesce(col, F.lit(0.0))
-        return df.withColumn("_known", known)
+        if self.scope == "training":
+            values = {c: filled_sql(c, sql_text.number(model.means[c])) for c in model.spec.numeric}
+        else:
+            values = {c: sql_text.name(c) for c in model.spec.numeric}
+        df = df.withColumn("_alive", is_scorable(df, model.spec, self.also_required))
+        df, terms = linear_terms(df, model, values)
+        return drop_helpers(df.withColumn("_known", F.expr(terms)), "w")
 
-    def _sums(self, df: DataFrame) -> dict[str, Column]:
-        alive = F.col("_alive")
+    def _sums(self, df: DataFrame) -> dict[str, str]:
         sums = {
-            "n": F.count("*"),
-            "alive_n": F.count_if(alive),
-            "alive_known": F.sum(F.when(alive, F.col("_known"))),
+            "n": "count(*)",
+            "alive_n": "count_if(_alive)",
+            "alive_known": "sum(CASE WHEN _alive THEN _known END)",
         }
-        for i, name in enumerate(self.model.spec.numeric):
-            value = F.col(name).cast("double")
-            if self.scope == "cohort" and not (self.score_first and not self.factors):
-                sums[f"all_sum_{i}"] = F.sum(value)
-                sums[f"all_cnt_{i}"] = F.count(value)
-            if (self.scope == "cohort" and not self.score_first) or self.factors:
-                sums[f"alive_null_{i}"] = F.count_if(alive & value.isNull())
+        cohort = self.scope == "cohort"
+        for i, c in enumerate(self.model.spec.numeric):
+            value = sql_text.name(c)
+            if cohort and (self.factors or not self.score_first):
+                sums[f"all_sum_{i}"] = f"sum(CAST({value} AS DOUBLE))"
+                sums[f"all_cnt_{i}"] = f"count({value})"
+            if self.factors or (cohort and not self.score_first):
+                sums[f"alive_null_{i}"] = f"count_if(_alive AND {value} IS NULL)"
             if self.factors:
-                sums[f"alive_sum_{i}"] = F.sum(F.when(alive, value))
+                sums[f"alive_sum_{i}"] = f"sum(CASE WHEN _alive THEN CAST({value} AS DOUBLE) END)"
         if self.factors:
             for c in self.short:
-                text = category_text(df, self.model.spec, c)
+                subject = category_sql(df, self.model.spec, c)
                 for j, value in enumerate(self.model.categories[c]):
-                    sums[f"alive_cat_{c}_{j}"] = F.count_if(alive & (text == F.lit(value)))
+                    sums[f"alive_cat_{c}_{j}"] = f"count_if(_alive AND {subject} = {sql_text.text(value)})"
         for source in dict.fromkeys([*self.averages.values(), *self.percentages.values()]):
-            sums[f"m_sum_{source}"] = F.sum(F.col(source).cast("double"))
-            sums[f"m_cnt_{source}"] = F.count(F.col(source))
+            sums[f"m_sum_{source}"] = f"sum(CAST({sql_text.name(source)} AS DOUBLE))"
+            sums[f"m_cnt_{source}"] = f"count({sql_text.name(source)})"
         return sums
 
     def aggregate(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Prepared rows to one row of sums per cohort; rows with a null key belong to none."""
         rows = self.rows(not_null(df, keys), keys)
-        sums = rows.groupBy(*keys).agg(*[col.alias(name) for name, col in self._sums(rows).items()])
+        sums = rows.groupBy(*keys).agg(*[
+            F.expr(f"{text} AS {sql_text.name(out)}") for out, text in self._sums(rows).items()
+        ])
         if not (self.factors and self.long):
             return sums
         for c in self.long:
@@ -120,15 +121,16 @@ class CohortSums:
         Counted per (cohort, category) first, so only counts are gathered: at most one entry per
         category of the model.
         """
-        text = category_text(rows, self.model.spec, column)
         first = self.model.category_offsets()[column]
         numbers = {v: first + i for i, v in enumerate(self.model.categories[column])}
+        counts = rows.where("_alive").groupBy(
+            *keys, F.expr(category_sql(rows, self.model.spec, column)).alias("value")
+        ).agg(F.count("*").alias("cnt"))
         table = rows.sparkSession.createDataFrame(list(numbers.items()), "value string, idx int")
-        counts = (
-            rows.where(F.col("_alive")).groupBy(*keys, text.alias("value")).agg(F.count("*").alias("cnt"))
-        )
+        if len(numbers) <= BROADCAST_ROWS:
+            table = F.broadcast(table)
         return (
-            counts.join(F.broadcast(table), "value").groupBy(*keys)
+            counts.join(table, "value").groupBy(*keys)
             .agg(F.collect_list(F.struct("idx", "cnt")).alias(f"long_{column}"))
         )
 
@@ -153,77 +155,64 @@ class CohortSums:
 
     # -- sums to results
 
-    def _filled_mean(self, i: int) -> Column:
-        """Mean that stands for a null of numeric column `i`."""
+    def _nulls_filled(self, i: int) -> str:
+        """What the surviving nulls of numeric column `i` add to the column's sum once filled."""
         if self.scope == "training":
-            return F.lit(self.model.means[self.model.spec.numeric[i]]).cast("double")
-        return F.try_divide(F.col(f"all_sum_{i}"), F.col(f"all_cnt_{i}"))
-
-    def _per_alive(self, total: Column) -> Column:
-        return F.try_divide(total, F.col("alive_n"))
+            mean = sql_text.number(self.model.means[self.model.spec.numeric[i]])
+        else:
+            mean = f"try_divide(all_sum_{i}, all_cnt_{i})"
+        return f"CASE WHEN alive_null_{i} > 0 THEN alive_null_{i} * {mean} ELSE 0D END"
 
     def average_risk(self) -> Column:
         """Mean score of the surviving rows."""
         if self.score_first:
-            return self._per_alive(F.col("alive_known"))
+            return F.expr("try_divide(alive_known, alive_n)")
         numeric, _, intercept = linear_weights(self.model)
-        total = F.col("alive_known")
+        terms = ["alive_known"]
         if self.scope == "cohort":
-            for i, (name, weight) in enumerate(numeric.items()):
-                nulls = F.col(f"alive_null_{i}")
-                fill = scaled(self.model, name, self._filled_mean(i)) * F.lit(weight)
-                total = total + F.when(nulls > 0, nulls * fill).otherwise(F.lit(0.0))
-        return self._per_alive(total) + F.lit(intercept)
+            for i, (c, weight) in enumerate(numeric.items()):
+                fill = scaled_sql(self.model, c, f"try_divide(all_sum_{i}, all_cnt_{i})")
+                terms.append(
+                    f"CASE WHEN alive_null_{i} > 0 THEN alive_null_{i} * {fill} * {sql_text.number(weight)} ELSE 0D END"
+                )
+        return F.expr(f"try_divide({' + '.join(terms)}, alive_n) + {sql_text.number(intercept)}")
 
     def top_factors(self) -> Column:
         """The `factors` largest mean activation x importance, geography left out."""
-        def entry(name, activation):
-            value = activation * F.lit(self._importance[name])
-            return F.struct(
-                (-value).alias("order"), F.lit(self._position[name]).alias("idx"),
-                F.lit(name).alias("feature"), value.alias("value"),
-            )
+        def entry(feature: str, activation: str) -> str:
+            value = f"({activation}) * {sql_text.number(self._importance[feature])}"
+            return factor_sql(value, self._position[feature], sql_text.text(feature))
 
         entries = []
-        for i, name in enumerate(self.model.spec.numeric):
-            nulls = F.col(f"alive_null_{i}")
-            filled = F.coalesce(F.col(f"alive_sum_{i}"), F.lit(0.0)) + F.when(
-                nulls > 0, nulls * self._filled_mean(i)
-            ).otherwise(F.lit(0.0))
-            entries.append(entry(name, scaled(self.model, name, self._per_alive(filled))))
+        for i, c in enumerate(self.model.spec.numeric):
+            mean = f"try_divide(coalesce(alive_sum_{i}, 0D) + {self._nulls_filled(i)}, alive_n)"
+            entries.append(entry(c, scaled_sql(self.model, c, mean)))
         for c in self.short:
             for j, value in enumerate(self.model.categories[c]):
-                entries.append(entry(f"{c}_{value}", self._per_alive(F.col(f"alive_cat_{c}_{j}"))))
-        candidates = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+                share = f"try_divide({sql_text.name(f'alive_cat_{c}_{j}')}, alive_n)"
+                entries.append(entry(f"{c}_{value}", share))
+        arrays = [f"filter(array({', '.join(entries)}), e -> e.order IS NOT NULL)"]
         for c in self.long:
-            candidates = F.concat(candidates, self._long_entries(c))
-        return F.transform(
-            F.slice(F.sort_array(candidates), 1, self.factors),
-            lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("value")),
-        )
+            arrays += self._long_entries(c)
+        return top_entries(f"concat({', '.join(arrays)})", self.factors)
 
-    def _long_entries(self, column: str) -> Column:
+    def _long_entries(self, column: str) -> list[str]:
         """Entries of a long category list: those that occur, and enough of the others to fill up."""
         first = self.model.category_offsets()[column]
-        names = [f"{column}_{v}" for v in self.model.categories[column]]
-        all_names = F.array(*[F.lit(n) for n in names])
-        sizes = F.array(*[F.lit(self._importance[n]) for n in names])
-        held = F.coalesce(F.col(f"long_{column}"), F.array().cast("array<struct<idx:int,cnt:bigint>>"))
+        features = [f"{column}_{v}" for v in self.model.categories[column]]
+        names = f"array({', '.join(sql_text.text(f) for f in features)})"
+        sizes = f"array({', '.join(sql_text.number(self._importance[f]) for f in features)})"
+        held = f"coalesce({sql_text.name(f'long_{column}')}, CAST(array() AS ARRAY<STRUCT<idx: INT, cnt: BIGINT>>))"
 
-        def entry(idx: Column, count: Column) -> Column:
-            value = self._per_alive(count) * F.get(sizes, idx - F.lit(first))
-            return F.struct(
-                (-value).alias("order"), idx.alias("idx"),
-                F.get(all_names, idx - F.lit(first)).alias("feature"), value.alias("value"),
-            )
+        def entry(idx: str, count: str) -> str:
+            value = f"try_divide({count}, alive_n) * get({sizes}, {idx} - {first})"
+            return factor_sql(value, idx, f"get({names}, {idx} - {first})")
 
-        present = F.transform(held, lambda h: entry(h["idx"], h["cnt"]))
-        absent = F.slice(
-            F.array_except(
-                F.sequence(F.lit(first), F.lit(first + len(names) - 1)), F.transform(held, lambda h: h["idx"])
-            ), 1, self.factors,
+        absent = (
+            f"slice(array_except(sequence({first}, {first + len(features) - 1}), transform({held}, h -> h.idx)), "
+            f"1, {self.factors})"
         )
-        return F.concat(present, F.transform(absent, lambda idx: entry(idx, F.lit(0).cast("bigint"))))
+        return [f"transform({held}, h -> {entry('h.idx', 'h.cnt')})", f"transform({absent}, i -> {entry('i', '0')})"]
 
     def finish(
         self, sums: DataFrame, keys: Sequence[str], min_rows: int | None = MIN_PATIENTS, digits: int = 4

@@ -106,11 +106,11 @@ def residual_histogram(
     df: DataFrame, truth: str = "risk_score", predicted: str = "score", n: int = HISTOGRAM_BINS
 ) -> DataFrame:
     """Histograms of the residuals, the truth and the prediction in long form."""
-    both = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
-    return histograms(both, {
-        "residual": F.col(truth) - F.col(predicted),
-        "truth": F.col(truth).cast("double"),
-        "prediction": F.col(predicted).cast("double"),
+    residual = F.col(truth) - F.col(predicted)
+    return histograms(df, {
+        "residual": residual,
+        "truth": F.when(residual.isNotNull(), F.col(truth).cast("double")),
+        "prediction": F.when(residual.isNotNull(), F.col(predicted).cast("double")),
     }, n)
 
 
@@ -123,38 +123,39 @@ def error_by_range(
     One row per range that has rows: count, extremes, quartiles, and the whiskers, which are the
     outermost errors within 1.5 interquartile ranges of the box; errors beyond them are counted.
     """
-    both = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).withColumn(
-        "_error", F.abs(F.col(truth) - F.col(predicted))
-    )
-    binned, edges = equal_width_cut(both, truth, bins, "_range")
+    error = F.abs(F.col(truth) - F.col(predicted))
+    pairs = df.select(error.alias("_error"), F.when(error.isNotNull(), F.col(truth)).alias("_truth"))
+    binned, edges = equal_width_cut(pairs, "_truth", bins, "_range")
     boxes = exact_percentiles(
         binned, {"error": F.col("_error")}, (0.25, 0.5, 0.75), by=F.col("_range"), **quantile_options
     )
-    table = [
-        (g, edges[g], edges[g + 1], *map(float, q)) for (g, _), q in sorted(boxes.items()) if q[0] is not None
-    ]
-    frame = df.sparkSession.createDataFrame(
-        table, "range_idx int, low double, high double, q1 double, median double, q3 double"
-    )
-    low_fence = high_fence = None
-    for g, _, _, q1, _, q3 in table:
-        reach = WHISKER * (q3 - q1)
-        test = F.col("_range") == g
-        low_fence = F.when(test, F.lit(q1 - reach)) if low_fence is None else low_fence.when(test, F.lit(q1 - reach))
-        high_fence = F.when(test, F.lit(q3 + reach)) if high_fence is None else high_fence.when(test, F.lit(q3 + reach))
-    if low_fence is None:
-        low_fence = high_fence = F.lit(None).cast("double")
-    error = F.col("_error")
-    within = (error >= low_fence) & (error <= high_fence)
-    extremes = binned.groupBy(F.col("_range").alias("range_idx")).agg(
-        F.count("*").alias("n"),
+    # A handful of numbers per range, looked up by range number. A join with them would let the
+    # optimizer derive a filter from its key and evaluate the score once more for that.
+    held = [boxes.get((g, "error")) or [None] * 3 for g in range(bins)]
+
+    def per_range(values, idx: Column) -> Column:
+        return F.get(F.array(*[F.lit(v).cast("double") for v in values]), idx)
+
+    error, idx = F.col("_error"), F.col("_range")
+    reach = [None if q1 is None else WHISKER * (q3 - q1) for q1, _, q3 in held]
+    low_fence = per_range([None if r is None else q[0] - r for q, r in zip(held, reach)], idx)
+    high_fence = per_range([None if r is None else q[2] + r for q, r in zip(held, reach)], idx)
+    inside = binned.withColumn("_within", (error >= low_fence) & (error <= high_fence))
+    found = inside.groupBy(idx.alias("range_idx")).agg(
+        F.count(error).alias("n"),
         F.min(error).alias("min_error"),
         F.max(error).alias("max_error"),
-        F.min(F.when(within, error)).alias("whisker_low"),
-        F.max(F.when(within, error)).alias("whisker_high"),
-        F.count_if(~within).alias("n_outliers"),
+        F.min(F.when(F.col("_within"), error)).alias("whisker_low"),
+        F.max(F.when(F.col("_within"), error)).alias("whisker_high"),
+        F.count_if(~F.col("_within")).alias("n_outliers"),
+    ).where(F.col("n") > 0)
+    idx = F.col("range_idx")
+    ends = {"low": edges[:-1], "high": edges[1:]} if edges else {"low": [None] * bins, "high": [None] * bins}
+    return found.select(
+        "range_idx", *[per_range(v, idx).alias(c) for c, v in ends.items()],
+        *[per_range([q[i] for q in held], idx).alias(c) for i, c in enumerate(("q1", "median", "q3"))],
+        "n", "min_error", "max_error", "whisker_low", "whisker_high", "n_outliers",
     )
-    return frame.join(extremes, "range_idx")
 
 
 def prediction_points(
@@ -165,7 +166,9 @@ def prediction_points(
 
     `fraction` keeps a repeatable share of the rows: whether a row is kept depends on its values.
     """
-    both = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    # `is_scorable` says the same about a scored table without evaluating the score for it.
+    scored = F.col("is_scorable") if "is_scorable" in df.columns else F.col(predicted).isNotNull()
+    both = df.where(F.col(truth).isNotNull() & scored)
     if fraction is not None:
         both = both.where(
             hash_uniform(seed, *[F.col(c) for c in (row_key or df.columns)]) < F.lit(fraction)

@@ -11,13 +11,13 @@ from ..fixed_values import (
     CATEGORICAL_FEATURES, CLIMATE_FEATURE, DEFAULT_PATIENT_COLUMNS, NUMERIC_FEATURES,
     POPULATION_CATEGORICAL, POPULATION_GEOGRAPHY, POPULATION_MEANS,
 )
+from ..functions import sql_text
 from ..functions import (
     canonical_area, canonical_sex, date_parts, hash_normal, parse_date, parse_range_mean,
     to_numeric,
 )
 from ..functions.numbers import not_nan
 from ..sources.readers import lowercase_columns, require_columns, with_defaults
-from .filters import all_of
 from .joins import join_counted
 from .quantiles import exact_percentiles
 
@@ -93,20 +93,29 @@ def prepare_groups(df: DataFrame) -> DataFrame:
     return df
 
 
-def category_text(df: DataFrame, spec: FeatureSpec, name: str) -> Column:
-    """A category as text, with the spec's stand-in for nulls and for an absent column."""
-    if name not in df.columns:
-        return F.lit(ABSENT_CATEGORY)
-    text = F.col(name).cast("string")
-    return F.coalesce(text, F.lit(spec.missing_category)) if spec.missing_category else text
+def category_sql(df: DataFrame, spec: FeatureSpec, column: str) -> str:
+    """SQL text of a category, with the spec's stand-in for nulls and for an absent column."""
+    if column not in df.columns:
+        return sql_text.text(ABSENT_CATEGORY)
+    value = f"CAST({sql_text.name(column)} AS STRING)"
+    return f"coalesce({value}, {sql_text.text(spec.missing_category)})" if spec.missing_category else value
 
 
-def is_scorable(df: DataFrame, spec: FeatureSpec, also: Sequence[str] = ()) -> Column:
-    """Whether the row survives cleaning: no null left once numbers are imputed."""
+def category_text(df: DataFrame, spec: FeatureSpec, column: str) -> Column:
+    """A category as a text column."""
+    return F.expr(category_sql(df, spec, column))
+
+
+def scorable_sql(df: DataFrame, spec: FeatureSpec, also: Sequence[str] = ()) -> str:
+    """SQL text of the test whether a row survives cleaning: no null left once numbers are imputed."""
     needed = list(also)
     if spec.missing_category is None:
         needed += [c for c in spec.categorical if c not in spec.nullable_categories]
-    return all_of(F.col(name).isNotNull() for name in dict.fromkeys(needed) if name in df.columns)
+    return sql_text.all_present(c for c in dict.fromkeys(needed) if c in df.columns)
+
+
+def is_scorable(df: DataFrame, spec: FeatureSpec, also: Sequence[str] = ()) -> Column:
+    return F.expr(scorable_sql(df, spec, also))
 
 
 # --- E1, E2 ---------------------------------------------------------------------------------
@@ -118,32 +127,47 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | Non
     return row.asDict()
 
 
-def impute_mean(
+def fill_values(
     df: DataFrame,
     columns: Sequence[str],
     scope: str = "training",
     means: Mapping[str, float | None] | None = None,
     keys: Sequence[str] = (),
-) -> DataFrame:
-    """Numeric nulls filled with a mean.
+) -> tuple[DataFrame, dict[str, str]]:
+    """The table and, per column, the SQL text of the value that stands for a null.
 
-    `training` uses the stored `means` (or those of this table). `cohort` uses the mean of the
-    row's own cohort: one aggregate per `keys`, joined back. It is never a window over the raw rows,
-    because a cohort may hold a third of the table. Without keys the cohort is the whole table.
+    `training` takes the stored `means` (or those of this table). `cohort` takes the mean of the
+    row's own cohort: one aggregate per `keys`, joined back as helper columns `_mean_*`. It is never
+    a window over the raw rows, because a cohort may hold a third of the table. Without keys the
+    cohort is the whole table.
     """
-    columns = list(columns)
     if scope not in ("training", "cohort"):
         raise ValueError(f"unknown impute scope {scope!r}")
     if scope == "training" or not keys:
         means = column_means(df, columns) if means is None or scope == "cohort" else means
-        filled = {
-            c: F.coalesce(F.col(c).cast("double"), F.lit(means[c]).cast("double")) for c in columns
+        return df, {
+            c: "CAST(NULL AS DOUBLE)" if means[c] is None else sql_text.number(means[c]) for c in columns
         }
-        return df.withColumns(filled)
     cohort = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    joined = join_counted(df, cohort, keys)
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_mean_{c}")) for c in columns}
-    return joined.withColumns(filled).drop(*[f"_mean_{c}" for c in columns])
+    return join_counted(df, cohort, keys), {c: sql_text.name(f"_mean_{c}") for c in columns}
+
+
+def impute_mean(
+    df: DataFrame,
+    columns: Sequence[str],
+    scope: str = "training",
+    means: Mapping[str, float | None] | None = None,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Numeric nulls filled with a mean; the scopes are those of `fill_values`."""
+    columns = list(columns)
+    df, fills = fill_values(df, columns, scope, means, keys)
+    filled = {c: F.expr(filled_sql(c, fills[c])) for c in columns}
+    return df.withColumns(filled).drop(*[f"_mean_{c}" for c in columns])
+
+
+def filled_sql(column: str, fill: str) -> str:
+    return f"coalesce(CAST({sql_text.name(column)} AS DOUBLE), {fill})"
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str], value: str = "Missing") -> DataFrame:
@@ -203,6 +227,8 @@ def one_hot_fit(
     Whole-number columns are sorted by number, so that `10` follows `9`.
     """
     present = [c for c in spec.categorical if c in df.columns]
+    if not present:
+        return {c: [] for c in spec.categorical}
     whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), category_text(df, spec, c).alias("value")) for c in present

@@ -9,59 +9,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import TOP_FACTORS
-from ..functions import risk_band, round_to
-from .features import category_text, impute_mean, is_scorable, require_features
+from ..functions import risk_band, round_to, sql_text
+from .features import category_sql, fill_values, filled_sql, is_scorable, require_features
 from .joins import BROADCAST_ROWS
 from .model import RiskModel
 
-# Up to this many categories a lookup is a CASE expression; beyond it a join with the value table.
-CASE_CATEGORIES = 64
+# Up to this many categories a lookup is a constant map, searched in order; beyond it a join with
+# the value table, which is hashed.
+MAP_CATEGORIES = 64
 
 
 def category_lookup(
     df: DataFrame, model: RiskModel, tables: Mapping[str, Mapping[str, float]], tag: str
-) -> tuple[DataFrame, dict[str, Column]]:
-    """Per categorical column, the number its value has in `tables`; null for an unseen value.
+) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with helper columns `_tag_*`: the number every category has in `tables`.
 
-    Short tables become CASE expressions inside the row's own stage. Longer ones are joined; their
-    size is the model's own category count, known here, and decides about the broadcast.
+    Also gives the SQL text of each helper. The number is null for an unseen value. Short tables
+    are constant maps inside the row's own stage. Longer ones are joined; their size is the model's
+    own category count, known here, and decides about the broadcast.
     """
-    found: dict[str, Column] = {}
-    joined: list[str] = []
+    found: dict[str, str] = {}
+    mapped: dict[str, Column] = {}
     for column, numbers in tables.items():
+        subject = category_sql(df, model.spec, column)
+        helper = f"_{tag}_{column}"
+        found[column] = sql_text.name(helper)
         if column not in df.columns or not numbers:
-            found[column] = F.lit(None).cast("double")
-            continue
-        text = category_text(df, model.spec, column)
-        if len(numbers) <= CASE_CATEGORIES:
-            case = None
-            for value, number in numbers.items():
-                test = text == F.lit(value)
-                case = F.when(test, F.lit(float(number))) if case is None else case.when(test, F.lit(float(number)))
-            found[column] = case
+            found[column] = "CAST(NULL AS DOUBLE)"
+        elif len(numbers) <= MAP_CATEGORIES:
+            mapped[helper] = F.expr(sql_text.lookup(subject, numbers))
         else:
-            joined.append(column)
-    for column in joined:
-        name = f"_{tag}_{column}"
-        table = df.sparkSession.createDataFrame(
-            [(v, float(x)) for v, x in tables[column].items()], f"`{name}_key` string, `{name}` double"
-        )
-        if len(tables[column]) <= BROADCAST_ROWS:
-            table = F.broadcast(table)
-        text = category_text(df, model.spec, column)
-        df = df.join(table, text == F.col(f"{name}_key"), "left").drop(f"{name}_key")
-        found[column] = F.col(name)
-    return df, found
+            table = df.sparkSession.createDataFrame(
+                [(v, float(x)) for v, x in numbers.items()], f"`{helper}_key` string, `{helper}` double"
+            )
+            if len(numbers) <= BROADCAST_ROWS:
+                table = F.broadcast(table)
+            df = df.join(table, F.expr(subject) == F.col(f"{helper}_key"), "left").drop(f"{helper}_key")
+    return df.withColumns(mapped) if mapped else df, found
 
 
-def drop_lookups(df: DataFrame, tag: str) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(f"_{tag}_")])
+def drop_helpers(df: DataFrame, *tags: str) -> DataFrame:
+    prefixes = tuple(f"_{tag}_" for tag in tags)
+    return df.drop(*[c for c in df.columns if c.startswith(prefixes)])
 
 
-def scaled(model: RiskModel, name: str, value: Column | None = None) -> Column:
-    """The scaled number; null stays null."""
-    center, scale = model.scaling[name]
-    return ((F.col(name) if value is None else value) - F.lit(center)) / F.lit(scale)
+def scaled_sql(model: RiskModel, column: str, value: str) -> str:
+    """SQL text of the scaled number; null stays null."""
+    center, scale = model.scaling[column]
+    return f"(({value} - {sql_text.number(center)}) / {sql_text.number(scale)})"
 
 
 def linear_weights(model: RiskModel) -> tuple[dict[str, float], dict[str, dict[str, float]], float]:
@@ -76,15 +71,29 @@ def linear_weights(model: RiskModel) -> tuple[dict[str, float], dict[str, dict[s
     return numeric, categorical, float(model.layers[0].bias[0])
 
 
-def _linear_score(df: DataFrame, model: RiskModel, output: str) -> DataFrame:
-    numeric, categorical, intercept = linear_weights(model)
+def linear_terms(
+    df: DataFrame, model: RiskModel, values: Mapping[str, str]
+) -> tuple[DataFrame, str]:
+    """The rows and the SQL text of a linear model's sum without the intercept.
+
+    `values` holds the SQL text of every numeric input; a null input adds nothing.
+    """
+    numeric, categorical, _ = linear_weights(model)
     df, found = category_lookup(df, model, categorical, "w")
-    total = F.lit(intercept)
-    for name, weight in numeric.items():
-        total = total + scaled(model, name) * F.lit(weight)
-    for col in found.values():
-        total = total + F.coalesce(col, F.lit(0.0))
-    return drop_lookups(df.withColumn(output, F.when(F.col("is_scorable"), total)), "w")
+    terms = []
+    for c, weight in numeric.items():
+        center, scale = model.scaling[c]
+        terms.append(f"coalesce(({values[c]} - {sql_text.number(center)}) * {sql_text.number(weight / scale)}, 0D)")
+    terms += [f"coalesce({lookup}, 0D)" for lookup in found.values()]
+    return df, " + ".join(terms) or "0D"
+
+
+def _linear_score(df: DataFrame, model: RiskModel, values: Mapping[str, str], output: str) -> DataFrame:
+    known = " AND ".join(f"{v} IS NOT NULL" for v in values.values() if "_mean_" in v or "NULL" in v)
+    test = f"is_scorable AND {known}" if known else "is_scorable"
+    df, terms = linear_terms(df, model, values)
+    intercept = sql_text.number(linear_weights(model)[2])
+    return df.withColumn(output, F.expr(f"CASE WHEN {test} THEN {intercept} + {terms} END"))
 
 
 def network_forward(model: RiskModel, numbers: np.ndarray, codes: Sequence[np.ndarray]) -> np.ndarray:
@@ -110,7 +119,7 @@ def network_forward(model: RiskModel, numbers: np.ndarray, codes: Sequence[np.nd
     return signal[:, 0]
 
 
-def _network_score(df: DataFrame, model: RiskModel, output: str) -> DataFrame:
+def _network_score(df: DataFrame, model: RiskModel, values: Mapping[str, str], output: str) -> DataFrame:
     """Multi-layer models run as an Arrow-batched function over the model's inputs only.
 
     The parameters travel once per executor as a broadcast variable.
@@ -130,11 +139,11 @@ def _network_score(df: DataFrame, model: RiskModel, output: str) -> DataFrame:
             ]
             yield pd.Series(network_forward(fitted, numbers, codes))
 
-    inputs = [scaled(model, c).cast("double").alias(f"n{i}") for i, c in enumerate(model.spec.numeric)]
+    inputs = [f"'n{i}', {scaled_sql(model, c, values[c])}" for i, c in enumerate(model.spec.numeric)]
     inputs += [
-        category_text(df, model.spec, c).alias(f"c{i}") for i, c in enumerate(model.spec.categorical)
+        f"'c{i}', {category_sql(df, model.spec, c)}" for i, c in enumerate(model.spec.categorical)
     ]
-    raw = predict(F.struct(*inputs))
+    raw = predict(F.expr(f"named_struct({', '.join(inputs)})"))
     return df.withColumn(output, raw).withColumn(
         output, F.when(F.col("is_scorable") & ~F.isnan(output), F.col(output))
     )
@@ -155,67 +164,60 @@ def score(
     """
     require_features(df, model.spec)
     df = df.withColumn("is_scorable", is_scorable(df, model.spec, also_required))
-    raw = {c: F.col(c) for c in model.spec.numeric}
-    kept = df.withColumns({f"_raw_{c}": col for c, col in raw.items()})
-    filled = impute_mean(kept, model.spec.numeric, impute_scope, model.means, keys)
+    df, fills = fill_values(df, model.spec.numeric, impute_scope, model.means, keys)
+    values = {c: filled_sql(c, fill) for c, fill in fills.items()}
     run = _linear_score if model.is_linear else _network_score
-    scored = run(filled, model, output)
-    return scored.withColumns({c: F.col(f"_raw_{c}") for c in raw}).drop(*[f"_raw_{c}" for c in raw])
+    return drop_helpers(run(df, model, values, output), "w", "mean")
 
 
 # --- T4 -------------------------------------------------------------------------------------
 
 
-def _row_factors(df: DataFrame, model: RiskModel, n: int) -> tuple[DataFrame, Column]:
-    """Candidates for the `n` largest factors of a row, without building the whole one-hot row.
+def factor_sql(value: str, idx: str | int, feature: str) -> str:
+    """SQL text of a factor that sorts by value, highest first, then by feature number."""
+    return f"named_struct('order', -({value}), 'idx', CAST({idx} AS INT), 'feature', {feature})"
+
+
+def top_entries(entries: str, n: int) -> Column:
+    """The first `n` of an array of `factor_sql` structs as (feature, value)."""
+    return F.expr(
+        f"transform(slice(sort_array({entries}), 1, {int(n)}), "
+        "e -> named_struct('feature', e.feature, 'value', -e.order))"
+    )
 
-    Inactive categories all have the value 0 and tie by feature number, so only the first few of
-    them can be chosen: as many as are wanted plus one per categorical column, which may be active.
+
+def top_factors_per_row(
+    df: DataFrame, model: RiskModel, n: int = TOP_FACTORS, output: str = "top_factors"
+) -> DataFrame:
+    """The `n` largest |first-unit weight| x input per row, as an array; no shuffle.
+
+    The whole one-hot row is not built. Inactive categories all have the value 0 and tie by feature
+    number, so only the first few of them can be chosen: as many as are wanted plus one per
+    categorical column, which may be active.
     """
     size = model.by_feature("first")
     names = model.feature_names
     offsets = model.category_offsets()
-
-    def entry(value: Column, idx: Column, feature: Column) -> Column:
-        return F.struct((-value).alias("order"), idx.alias("idx"), feature.alias("feature"), value.alias("value"))
-
-    entries = []
-    for i, name in enumerate(model.spec.numeric):
-        filled = F.coalesce(F.col(name).cast("double"), F.lit(model.means[name]).cast("double"))
-        entries.append(entry(scaled(model, name, filled) * F.lit(float(size[i])), F.lit(i), F.lit(name)))
-
     columns = list(model.spec.categorical)
-    index_tables = {
-        c: {v: offsets[c] + i for i, v in enumerate(model.categories[c])} for c in columns
-    }
-    df, at = category_lookup(df, model, index_tables, "i")
+    numbers = {c: {v: offsets[c] + i for i, v in enumerate(model.categories[c])} for c in columns}
+    df, at = category_lookup(df, model, numbers, "i")
     df, active = category_lookup(
-        df, model,
-        {c: {v: float(size[offsets[c] + i]) for i, v in enumerate(model.categories[c])} for c in columns},
-        "v",
+        df, model, {c: {v: float(size[i]) for v, i in table.items()} for c, table in numbers.items()}, "v"
     )
+    entries = []
+    for i, c in enumerate(model.spec.numeric):
+        filled = filled_sql(c, sql_text.number(model.means[c]))
+        entries.append(factor_sql(f"{scaled_sql(model, c, filled)} * {sql_text.number(size[i])}", i, sql_text.text(c)))
     for c in columns:
-        label = F.concat(F.lit(f"{c}_"), category_text(df, model.spec, c))
-        entries.append(F.when(at[c].isNotNull(), entry(active[c], at[c].cast("int"), label)))
+        label = f"concat({sql_text.text(c + '_')}, {category_sql(df, model.spec, c)})"
+        entries.append(f"CASE WHEN {at[c]} IS NOT NULL THEN {factor_sql(active[c], at[c], label)} END")
     first = len(model.spec.numeric)
     for i in range(first, min(len(names), first + n + len(columns))):
         column = next(c for c in reversed(columns) if offsets[c] <= i and model.categories[c])
-        off = at[column].isNull() | (at[column] != F.lit(float(i)))
-        entries.append(F.when(off, entry(F.lit(0.0), F.lit(i), F.lit(names[i]))))
-    ordered = F.sort_array(F.array_compact(F.array(*entries)))
-    top = F.transform(
-        F.slice(ordered, 1, n), lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("value"))
-    )
-    return df, top
-
-
-def top_factors_per_row(
-    df: DataFrame, model: RiskModel, n: int = TOP_FACTORS, output: str = "top_factors"
-) -> DataFrame:
-    """The `n` largest |first-unit weight| x input per row, as an array; no shuffle."""
-    df, top = _row_factors(df, model, n)
-    df = df.withColumn(output, top)
-    return drop_lookups(drop_lookups(df, "i"), "v")
+        entry = factor_sql("0D", i, sql_text.text(names[i]))
+        entries.append(f"CASE WHEN coalesce({at[column]}, -1D) <> {i} THEN {entry} END")
+    df = df.withColumn(output, top_entries(f"array_compact(array({', '.join(entries)}))", n))
+    return drop_helpers(df, "i", "v")
 
 
 def score_patients_explained(df: DataFrame, model: RiskModel, n: int = TOP_FACTORS) -> DataFrame:
@@ -232,8 +234,13 @@ def score_patients_explained(df: DataFrame, model: RiskModel, n: int = TOP_FACTO
 
 
 def explode_factors(df: DataFrame, keys: Sequence[str], factors: str = "top_factors") -> DataFrame:
-    """Long form of a factor array: one row per key and rank."""
-    return df.select(*keys, F.posexplode(factors).alias("rank", "factor")).select(
+    """Long form of a factor array: one row per key and rank.
+
+    The outer form is used because the optimizer filters on the array's size before an inner one,
+    which would evaluate the whole array expression a second time.
+    """
+    long = df.select(*keys, F.posexplode_outer(factors).alias("rank", "factor"))
+    return long.where(F.col("rank").isNotNull()).select(
         *keys,
         (F.col("rank") + 1).alias("rank"),
         F.col("factor.feature").alias("feature"),

@@ -18,10 +18,14 @@ def _row_hash(df: DataFrame, row_key: Sequence[str] | None, seed: int) -> Column
 
 def random_split(
     df: DataFrame, test_fraction: float = 0.2, seed: int = 42,
-    row_key: Sequence[str] | None = None, flag: str = "is_test",
+    row_key: Sequence[str] | None = None, uniform: Column | None = None, flag: str = "is_test",
 ) -> DataFrame:
-    """The rows with a test flag, true for about `test_fraction` of them."""
-    return df.withColumn(flag, _row_hash(df, row_key, seed) < F.lit(test_fraction))
+    """The rows with a test flag, true for about `test_fraction` of them.
+
+    `uniform` is a number in [0, 1) that belongs to the row; a hash of the row by default.
+    """
+    uniform = _row_hash(df, row_key, seed) if uniform is None else uniform
+    return df.withColumn(flag, uniform < F.lit(test_fraction))
 
 
 def _test_sizes(counts: dict[int, int], fraction: float) -> dict[int, int]:

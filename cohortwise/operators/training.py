@@ -11,14 +11,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import sql_text
 from .evaluation import regression_metrics
 from .features import (
-    INDIVIDUAL, POPULATION, FeatureSpec, category_text, column_means, is_scorable, one_hot_fit,
-    prepare_groups, prepare_patients, require_features, robust_scale_fit, standard_scale_fit,
+    INDIVIDUAL, POPULATION, FeatureSpec, category_text, column_means, filled_sql, is_scorable,
+    one_hot_fit, prepare_groups, prepare_patients, require_features, robust_scale_fit,
+    standard_scale_fit,
 )
 from .model import Layer, RiskModel
 from .population import group_population
-from .scoring import scaled, score
+from .scoring import scaled_sql, score
 from .splits import random_split, stratified_split
 from .staging import stage
 
@@ -38,8 +40,8 @@ class Fitted:
     test: Mapping[str, float]
 
 
-def _filled(spec: FeatureSpec, means: Mapping[str, float]) -> dict[str, Column]:
-    return {c: F.coalesce(F.col(c).cast("double"), F.lit(float(means[c]))) for c in spec.numeric}
+def _filled(spec: FeatureSpec, means: Mapping[str, float]) -> dict[str, str]:
+    return {c: filled_sql(c, sql_text.number(means[c])) for c in spec.numeric}
 
 
 def fit_preparation(df: DataFrame, spec: FeatureSpec) -> RiskModel:
@@ -49,7 +51,7 @@ def fit_preparation(df: DataFrame, spec: FeatureSpec) -> RiskModel:
     if empty:
         raise ValueError(f"columns without a single value: {', '.join(empty)}")
     fit = robust_scale_fit if spec.scaler == "robust" else standard_scale_fit
-    scaling = fit(df, _filled(spec, means))
+    scaling = fit(df, {c: F.expr(text) for c, text in _filled(spec, means).items()})
     categories = one_hot_fit(df, spec)
     width = len(spec.numeric) + sum(len(v) for v in categories.values())
     return RiskModel(spec, means, scaling, categories, (Layer(np.zeros((width, 1)), np.zeros(1)),))
@@ -58,22 +60,20 @@ def fit_preparation(df: DataFrame, spec: FeatureSpec) -> RiskModel:
 def feature_vectors(df: DataFrame, model: RiskModel, output: str = "features") -> DataFrame:
     """The rows with a sparse feature vector in the model's feature order."""
     filled = _filled(model.spec, model.means)
-    numbers = F.array(*[scaled(model, c, filled[c]) for c in model.spec.numeric])
+    numbers = F.expr(f"array({', '.join(scaled_sql(model, c, filled[c]) for c in model.spec.numeric)})")
     columns = [c for c in model.spec.categorical if model.categories[c]]
     texts = {f"_text_{i}": category_text(df, model.spec, c) for i, c in enumerate(columns)}
     df = df.withColumns(texts).withColumn("_numbers", array_to_vector(numbers))
-    encoded = []
+    encoded = [f"_hot_{i}" for i in range(len(columns))]
+    # `keep` gives unseen and null values a last index of their own; dropping the last index of the
+    # encoder makes them all zeros.
+    for i, c in enumerate(columns):
+        df = StringIndexerModel.from_labels(
+            list(model.categories[c]), inputCol=f"_text_{i}", outputCol=f"_index_{i}", handleInvalid="keep"
+        ).transform(df)
     if columns:
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [list(model.categories[c]) for c in columns], inputCols=list(texts),
-            outputCols=[f"_index_{i}" for i in range(len(columns))], handleInvalid="keep",
-        )
-        # `keep` gives unseen and null values a last index of their own; dropping the last index
-        # of the encoder makes them all zeros.
-        encoded = [f"_hot_{i}" for i in range(len(columns))]
-        encoder = OneHotEncoder(inputCols=indexer.getOutputCols(), outputCols=encoded, dropLast=True)
-        df = indexer.transform(df)
-        df = encoder.fit(df).transform(df)
+        indexed = [f"_index_{i}" for i in range(len(columns))]
+        df = OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True).fit(df).transform(df)
     assembler = VectorAssembler(inputCols=["_numbers", *encoded], outputCol=output)
     helpers = [c for c in df.columns if c.startswith(("_text_", "_index_", "_hot_"))]
     return assembler.transform(df).drop("_numbers", *helpers)
