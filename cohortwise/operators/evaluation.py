@@ -84,9 +84,10 @@ def histograms(df: DataFrame, columns: Mapping[str, Column], n: int = HISTOGRAM_
         if extents[name][0] is None:
             continue
         edges = equal_width_edges(*extents[name], n)
-        number = F.least(
+        # The highest value has its own number n + 1. `least` would turn a null into n.
+        number = F.when(col.isNotNull(), F.least(
             F.width_bucket(col, F.lit(edges[0]), F.lit(edges[-1]), F.lit(n)), F.lit(n).cast("long")
-        )
+        ))
         cells.append((name, edges, F.struct(F.lit(name).alias("variable"), number.cast("int").alias("bin"))))
     spark = df.sparkSession
     frame = spark.createDataFrame(

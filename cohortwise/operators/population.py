@@ -8,9 +8,10 @@ from ..fixed_values import (
     CLIMATE_FEATURE, GEO_KEYS, POPULATION_CATEGORICAL, POPULATION_GEOGRAPHY, POPULATION_KEYS,
     POPULATION_MEANS,
 )
-from ..functions import canonical_area, ieq, parse_range_mean, round_to
+from ..functions import canonical_area, ieq, parse_range_mean
 from ..functions.numbers import not_nan
 from ..sources.readers import lowercase_columns, require_columns
+from .cohorts import cohort_summary
 from .features import prepare_groups
 from .filters import not_null
 from .joins import unique_municipalities
@@ -52,10 +53,14 @@ def score_groups(groups: DataFrame, model: RiskModel, impute_scope: str = "cohor
 def population_risk(
     groups: DataFrame, model: RiskModel, impute_scope: str = "cohort"
 ) -> DataFrame:
-    """Group count and unweighted mean estimated risk for every municipality."""
-    return score_groups(groups, model, impute_scope).groupBy("municipality").agg(
-        F.count("*").alias("n_groups"), round_to(F.avg("risk_estimate"), 4).alias("avg_risk")
+    """Group count, unweighted mean estimated risk and band for every municipality.
+
+    The cohort core does it: the rows are population groups here and the cohorts municipalities.
+    """
+    found = cohort_summary(
+        prepare_groups(groups), "municipality", model, impute_scope=impute_scope, min_rows=None
     )
+    return found.withColumnRenamed("n_patients", "n_groups")
 
 
 def population_risk_of(

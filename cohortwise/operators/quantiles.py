@@ -183,6 +183,9 @@ def exact_percentiles(
     out: dict[tuple[object, str], list[float | None]] = {
         key: [None] * len(probabilities) for key, (n, _, _) in extent.items() if n == 0
     }
+    if by is None:
+        for name in columns:
+            out.setdefault((0, name), [None] * len(probabilities))
     filled = {key: value for key, value in extent.items() if value[0] > 0}
     if filled and max(n for n, _, _ in filled.values()) <= direct_rows:
         names = list(columns)

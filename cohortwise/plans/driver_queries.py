@@ -299,8 +299,8 @@ def population_groups(spark, sf_dir):
 
 
 @query("population_risk", S.with_(S.population_scored()) + (
-    "SELECT municipality, CAST(count(*) AS BIGINT) AS n_groups, round(avg(risk_estimate), 4) AS avg_risk "
-    "FROM gscored GROUP BY municipality"
+    "SELECT municipality, CAST(count(*) AS BIGINT) AS n_groups, round(avg(risk_estimate), 4) AS avg_risk, "
+    f"{S.band('avg(risk_estimate)')} AS risk_band FROM gscored GROUP BY municipality"
 ))
 def population_risk(spark, sf_dir):
     groups = population.group_population(patients(spark, sf_dir), municipalities(spark, sf_dir))
@@ -332,7 +332,8 @@ def patients_with_geography(spark, sf_dir):
 
 
 @query("patient_columns", S.with_(S.BASE) + (
-    f"SELECT patient_id, diagnosis_year, diagnosis_month, diagnosis_trimester, days_since_diagnosis, pandemic_period, "
+    "SELECT patient_id, CAST(diagnosis_year AS VARCHAR) AS diagnosis_year, CAST(diagnosis_month AS VARCHAR) AS diagnosis_month, "
+    "diagnosis_trimester, CAST(days_since_diagnosis AS VARCHAR) AS days_since_diagnosis, pandemic_period, "
     f"CASE WHEN diagnosis_year IN (1996, 1999) THEN 1 ELSE 0 END AS period, {S.band('risk_score')} AS band, "
     f"{S.AGE_BAND} AS age_band, {S.target_bin('risk_score')} AS target_bin, CAST(floor(age / 10) * 10 AS INT) AS decade, "
     "CASE WHEN is_smoker = 1 THEN 'Fumador' ELSE 'No Fumador' END || ' / ' || "
@@ -343,7 +344,8 @@ def patient_columns(spark, sf_dir):
         "patient_id", "diagnosis_date", "risk_score", "age", "is_smoker", "diabetes", "education_level",
     ])
     return rows.select(
-        "patient_id", "diagnosis_year", "diagnosis_month", "diagnosis_trimester", "days_since_diagnosis",
+        "patient_id", F.col("diagnosis_year").cast("string"), F.col("diagnosis_month").cast("string"),
+        "diagnosis_trimester", F.col("days_since_diagnosis").cast("string"),
         "pandemic_period", period_flag(F.col("diagnosis_year"), (1996, 1999)).alias("period"),
         risk_band(F.col("risk_score")).alias("band"),
         cut(F.col("age"), AGE_EDGES, AGE_LABELS, right=False).alias("age_band"),
@@ -381,14 +383,14 @@ _DATE_TEXT = (
 
 @query("dates_parsed", (
     f"WITH texts AS (SELECT o_orderkey AS id, TRY_CAST({_DATE_TEXT} AS TIMESTAMP) AS d FROM orders) "
-    "SELECT id, CAST(year(d) AS INT) AS diagnosis_year, 'T' || CAST(quarter(d) AS VARCHAR) AS diagnosis_trimester, "
-    f"CAST(date_diff('day', d, TIMESTAMP '{AS_OF}') AS INT) AS days_since_diagnosis FROM texts"
+    "SELECT id, CAST(year(d) AS VARCHAR) AS diagnosis_year, 'T' || CAST(quarter(d) AS VARCHAR) AS diagnosis_trimester, "
+    f"CAST(date_diff('day', d, TIMESTAMP '{AS_OF}') AS VARCHAR) AS days_since_diagnosis FROM texts"
 ))
 def dates_parsed(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     parts = date_parts(parse_date(F.expr(_DATE_TEXT)), AS_OF)
     return orders.select(F.col("o_orderkey").alias("id"), *[
-        parts[c].alias(c) for c in ("diagnosis_year", "diagnosis_trimester", "days_since_diagnosis")
+        parts[c].cast("string").alias(c) for c in ("diagnosis_year", "diagnosis_trimester", "days_since_diagnosis")
     ])
 
 
