@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import GEO_KEYS, MIN_PATIENTS
 from ..functions import risk_band, round_to, sql_text
-from .features import category_sql, filled_sql, is_scorable, require_features
+from .features import category_sql, is_scorable, require_features
 from .filters import having_min, not_null
 from .joins import BROADCAST_ROWS
 from .model import RiskModel
@@ -56,6 +56,7 @@ class CohortSums:
         # A network needs every row's filled inputs before it can score.
         self.score_first = not model.is_linear
         self._importance = dict(zip(model.feature_names, model.by_feature("mean").tolist()))
+        self._constant = 0.0
         self._position = {name: i for i, name in enumerate(model.feature_names)}
 
     # -- rows to sums
@@ -67,12 +68,11 @@ class CohortSums:
         if self.score_first:
             df = score(df, model, self.scope, keys, "_known", self.also_required)
             return df.withColumn("_alive", F.col("_known").isNotNull())
+        fills = None
         if self.scope == "training":
-            values = {c: filled_sql(c, sql_text.number(model.means[c])) for c in model.spec.numeric}
-        else:
-            values = {c: sql_text.name(c) for c in model.spec.numeric}
+            fills = {c: sql_text.number(model.means[c]) for c in model.spec.numeric}
         df = df.withColumn("_alive", is_scorable(df, model.spec, self.also_required))
-        df, terms = linear_terms(df, model, values)
+        df, terms, self._constant = linear_terms(df, model, fills)
         return drop_helpers(df.withColumn("_known", F.expr(terms)), "w")
 
     def _sums(self, df: DataFrame) -> dict[str, str]:
@@ -167,7 +167,7 @@ class CohortSums:
         """Mean score of the surviving rows."""
         if self.score_first:
             return F.expr("try_divide(alive_known, alive_n)")
-        numeric, _, intercept = linear_weights(self.model)
+        numeric, _, _ = linear_weights(self.model)
         terms = ["alive_known"]
         if self.scope == "cohort":
             for i, (c, weight) in enumerate(numeric.items()):
@@ -175,7 +175,7 @@ class CohortSums:
                 terms.append(
                     f"CASE WHEN alive_null_{i} > 0 THEN alive_null_{i} * {fill} * {sql_text.number(weight)} ELSE 0D END"
                 )
-        return F.expr(f"try_divide({' + '.join(terms)}, alive_n) + {sql_text.number(intercept)}")
+        return F.expr(f"try_divide({' + '.join(terms)}, alive_n) + {sql_text.number(self._constant)}")
 
     def top_factors(self) -> Column:
         """The `factors` largest mean activation x importance, geography left out."""
@@ -191,7 +191,7 @@ class CohortSums:
             for j, value in enumerate(self.model.categories[c]):
                 share = f"try_divide({sql_text.name(f'alive_cat_{c}_{j}')}, alive_n)"
                 entries.append(entry(f"{c}_{value}", share))
-        arrays = [f"filter(array({', '.join(entries)}), e -> e.order IS NOT NULL)"]
+        arrays = [f"array({', '.join(entries)})"]
         for c in self.long:
             arrays += self._long_entries(c)
         return top_entries(f"concat({', '.join(arrays)})", self.factors)

@@ -72,28 +72,30 @@ def linear_weights(model: RiskModel) -> tuple[dict[str, float], dict[str, dict[s
 
 
 def linear_terms(
-    df: DataFrame, model: RiskModel, values: Mapping[str, str]
-) -> tuple[DataFrame, str]:
-    """The rows and the SQL text of a linear model's sum without the intercept.
+    df: DataFrame, model: RiskModel, fills: Mapping[str, str] | None
+) -> tuple[DataFrame, str, float]:
+    """The rows, the SQL text of a linear model's sum, and the constant that belongs to it.
 
-    `values` holds the SQL text of every numeric input; a null input adds nothing.
+    Scaling is folded into the weights: `w (x - c) / s` is `x w / s` and a share of the constant,
+    which keeps the generated code short. `fills` holds the SQL text that stands for a null number;
+    without it a null adds what the center of its column would, that is nothing.
     """
-    numeric, categorical, _ = linear_weights(model)
+    numeric, categorical, constant = linear_weights(model)
     df, found = category_lookup(df, model, categorical, "w")
     terms = []
     for c, weight in numeric.items():
         center, scale = model.scaling[c]
-        terms.append(f"coalesce(({values[c]} - {sql_text.number(center)}) * {sql_text.number(weight / scale)}, 0D)")
+        slope = weight / scale
+        constant -= center * slope
+        value = filled_sql(c, sql_text.number(center) if fills is None else fills[c])
+        terms.append(f"{value} * {sql_text.number(slope)}")
     terms += [f"coalesce({lookup}, 0D)" for lookup in found.values()]
-    return df, " + ".join(terms) or "0D"
+    return df, " + ".join(terms) or "0D", constant
 
 
-def _linear_score(df: DataFrame, model: RiskModel, values: Mapping[str, str], output: str) -> DataFrame:
-    known = " AND ".join(f"{v} IS NOT NULL" for v in values.values() if "_mean_" in v or "NULL" in v)
-    test = f"is_scorable AND {known}" if known else "is_scorable"
-    df, terms = linear_terms(df, model, values)
-    intercept = sql_text.number(linear_weights(model)[2])
-    return df.withColumn(output, F.expr(f"CASE WHEN {test} THEN {intercept} + {terms} END"))
+def _linear_score(df: DataFrame, model: RiskModel, fills: Mapping[str, str], output: str) -> DataFrame:
+    df, terms, constant = linear_terms(df, model, fills)
+    return df.withColumn(output, F.expr(f"CASE WHEN is_scorable THEN {sql_text.number(constant)} + {terms} END"))
 
 
 def network_forward(model: RiskModel, numbers: np.ndarray, codes: Sequence[np.ndarray]) -> np.ndarray:
@@ -119,7 +121,7 @@ def network_forward(model: RiskModel, numbers: np.ndarray, codes: Sequence[np.nd
     return signal[:, 0]
 
 
-def _network_score(df: DataFrame, model: RiskModel, values: Mapping[str, str], output: str) -> DataFrame:
+def _network_score(df: DataFrame, model: RiskModel, fills: Mapping[str, str], output: str) -> DataFrame:
     """Multi-layer models run as an Arrow-batched function over the model's inputs only.
 
     The parameters travel once per executor as a broadcast variable.
@@ -139,7 +141,9 @@ def _network_score(df: DataFrame, model: RiskModel, values: Mapping[str, str], o
             ]
             yield pd.Series(network_forward(fitted, numbers, codes))
 
-    inputs = [f"'n{i}', {scaled_sql(model, c, values[c])}" for i, c in enumerate(model.spec.numeric)]
+    inputs = [
+        f"'n{i}', {scaled_sql(model, c, filled_sql(c, fills[c]))}" for i, c in enumerate(model.spec.numeric)
+    ]
     inputs += [
         f"'c{i}', {category_sql(df, model.spec, c)}" for i, c in enumerate(model.spec.categorical)
     ]
@@ -165,71 +169,90 @@ def score(
     require_features(df, model.spec)
     df = df.withColumn("is_scorable", is_scorable(df, model.spec, also_required))
     df, fills = fill_values(df, model.spec.numeric, impute_scope, model.means, keys)
-    values = {c: filled_sql(c, fill) for c, fill in fills.items()}
     run = _linear_score if model.is_linear else _network_score
-    return drop_helpers(run(df, model, values, output), "w", "mean")
+    return drop_helpers(run(df, model, fills, output), "w", "mean")
 
 
 # --- T4 -------------------------------------------------------------------------------------
 
 
 def factor_sql(value: str, idx: str | int, feature: str) -> str:
-    """SQL text of a factor that sorts by value, highest first, then by feature number."""
-    return f"named_struct('order', -({value}), 'idx', CAST({idx} AS INT), 'feature', {feature})"
+    """SQL text of a factor; the highest is the largest value, of equal ones the lowest number."""
+    return f"named_struct('value', {value}, 'back', -CAST({idx} AS INT), 'feature', {feature})"
 
 
 def top_entries(entries: str, n: int) -> Column:
-    """The first `n` of an array of `factor_sql` structs as (feature, value)."""
+    """The `n` highest of an array of `factor_sql` structs as (feature, value).
+
+    Null entries and null values sort last in descending order, so they need no pass of their own.
+    """
     return F.expr(
-        f"transform(slice(sort_array({entries}), 1, {int(n)}), "
-        "e -> named_struct('feature', e.feature, 'value', -e.order))"
+        f"transform(filter(slice(sort_array({entries}, false), 1, {int(n)}), e -> e.value IS NOT NULL), "
+        "e -> named_struct('feature', e.feature, 'value', e.value))"
     )
 
 
 def top_factors_per_row(
-    df: DataFrame, model: RiskModel, n: int = TOP_FACTORS, output: str = "top_factors"
+    df: DataFrame, model: RiskModel, n: int = TOP_FACTORS, output: str = "top_factors",
+    digits: int | None = None,
 ) -> DataFrame:
     """The `n` largest |first-unit weight| x input per row, as an array; no shuffle.
 
     The whole one-hot row is not built. Inactive categories all have the value 0 and tie by feature
     number, so only the first few of them can be chosen: as many as are wanted plus one per
-    categorical column, which may be active.
+    categorical column, which may be active. Where that many exist, a negative number cannot be
+    among the highest and is left out of the sort.
+
+    No higher-order function touches the candidates: Spark interprets everything below one, while
+    an array, its sort and its items are compiled.
     """
     size = model.by_feature("first")
     names = model.feature_names
     offsets = model.category_offsets()
     columns = list(model.spec.categorical)
+    first = len(model.spec.numeric)
     numbers = {c: {v: offsets[c] + i for i, v in enumerate(model.categories[c])} for c in columns}
     df, at = category_lookup(df, model, numbers, "i")
-    df, active = category_lookup(
-        df, model, {c: {v: float(size[i]) for v, i in table.items()} for c, table in numbers.items()}, "v"
-    )
     entries = []
+    enough_zeros = len(names) - first >= n + len(columns)
     for i, c in enumerate(model.spec.numeric):
         filled = filled_sql(c, sql_text.number(model.means[c]))
-        entries.append(factor_sql(f"{scaled_sql(model, c, filled)} * {sql_text.number(size[i])}", i, sql_text.text(c)))
+        entry = factor_sql(
+            f"{scaled_sql(model, c, filled)} * {sql_text.number(size[i])}", i, sql_text.text(c)
+        )
+        if enough_zeros:
+            entry = f"CASE WHEN {filled} >= {sql_text.number(model.scaling[c][0])} THEN {entry} END"
+        entries.append(entry)
     for c in columns:
+        if not model.categories[c]:
+            continue
+        sizes = ", ".join(sql_text.number(size[i]) for i in numbers[c].values())
+        active = f"get(array({sizes}), CAST({at[c]} AS INT) - {offsets[c]})"
         label = f"concat({sql_text.text(c + '_')}, {category_sql(df, model.spec, c)})"
-        entries.append(f"CASE WHEN {at[c]} IS NOT NULL THEN {factor_sql(active[c], at[c], label)} END")
-    first = len(model.spec.numeric)
+        entries.append(f"CASE WHEN {at[c]} IS NOT NULL THEN {factor_sql(active, at[c], label)} END")
     for i in range(first, min(len(names), first + n + len(columns))):
         column = next(c for c in reversed(columns) if offsets[c] <= i and model.categories[c])
         entry = factor_sql("0D", i, sql_text.text(names[i]))
         entries.append(f"CASE WHEN coalesce({at[column]}, -1D) <> {i} THEN {entry} END")
-    df = df.withColumn(output, top_entries(f"array_compact(array({', '.join(entries)}))", n))
-    return drop_helpers(df, "i", "v")
+    df = df.withColumn("_i_sorted", F.expr(f"slice(sort_array(array({', '.join(entries)}), false), 1, {int(n)})"))
+    shown = "e.value" if digits is None else f"round(e.value, {int(digits)})"
+    items = []
+    for k in range(n):
+        item = f"get(_i_sorted, {k})"
+        pair = f"named_struct('feature', {item}.feature, 'value', {shown.replace('e.', item + '.')})"
+        items.append(pair if enough_zeros else f"CASE WHEN {item} IS NOT NULL THEN {pair} END")
+    array = f"array({', '.join(items)})"
+    df = df.withColumn(output, F.expr(array if enough_zeros else f"array_compact({array})"))
+    return drop_helpers(df, "i")
 
 
 def score_patients_explained(df: DataFrame, model: RiskModel, n: int = TOP_FACTORS) -> DataFrame:
     """Score, band and top factors for every prepared patient row."""
-    scored = top_factors_per_row(score(df, model), model, n)
+    scored = top_factors_per_row(score(df, model), model, n, digits=4)
     return scored.withColumns({
         "risk_band": risk_band(F.col("score")),
         "score": round_to(F.col("score"), 4),
-        "top_factors": F.when(F.col("is_scorable"), F.transform(
-            F.col("top_factors"),
-            lambda e: F.struct(e["feature"].alias("feature"), F.round(e["value"], 4).alias("value")),
-        )),
+        "top_factors": F.when(F.col("is_scorable"), F.col("top_factors")),
     })
 
 
