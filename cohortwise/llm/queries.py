@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, sharding, topk, warc
+from . import decontamination, language_id, near_duplicates, packing, sharding, topk, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op4_topk": topk.op4_topk,
     "op5_packing": packing.op5_packing,
+    "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op8_language_id": language_id.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontamination.op10_decontamination,
