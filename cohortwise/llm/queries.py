@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_duplicates, packing, sharding, topk, warc
+from . import decontamination, language_id, line_dedup, near_duplicates, packing, sharding, topk, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_topk": topk.op4_topk,
     "op5_packing": packing.op5_packing,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
