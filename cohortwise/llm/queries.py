@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, line_dedup, near_duplicates, packing, sharding, topk, warc
+from . import decontamination, language_id, line_dedup, near_duplicates, packing, repeats, sharding, topk, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_topk": topk.op4_topk,
     "op5_packing": packing.op5_packing,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
+    "op7_repeats": repeats.op7_repeats,
     "op8_language_id": language_id.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontamination.op10_decontamination,

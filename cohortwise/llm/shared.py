@@ -8,6 +8,7 @@ two lookups once the prefix sums of a piece of text are known.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -73,6 +74,13 @@ def _delete(spark: SparkSession, path: str) -> None:
             raise error
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does only for plans that the
+    JVM has collected. Called between steps that each shuffle a multiple of the input."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Staged:
     """Tables written to the shared folder: each cuts the lineage and survives a lost executor.
 
