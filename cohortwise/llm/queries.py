@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, line_dedup, near_duplicates, packing, repeats, sharding, topk, warc
+from . import decontamination, language_id, line_dedup, near_duplicates, packing, quality, repeats, sharding, topk, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_warc": warc.op2_warc,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_topk": topk.op4_topk,
