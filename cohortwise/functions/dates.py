@@ -12,6 +12,13 @@ from ..fixed_values import PANDEMIC_YEARS
 _DAY_MICROS = 86_400_000_000
 
 
+# Besides ISO: year first with slashes, month first, and month names; the first that fits counts.
+DATE_FORMATS = (
+    "yyyy/M/d", "yyyy/M/d H:mm[:ss]", "M/d/yyyy", "M/d/yyyy H:mm[:ss]", "M-d-yyyy", "MMM d yyyy", "MMM d, yyyy",
+    "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+)
+
+
 def parse_date(col: Column | str, formats: Iterable[str] = ()) -> Column:
     """Text to timestamp; text that fits no format becomes null.
 
@@ -24,6 +31,12 @@ def parse_date(col: Column | str, formats: Iterable[str] = ()) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+def parse_any_date(col: Column | str, formats: Iterable[str] = DATE_FORMATS) -> Column:
+    """ISO dates and timestamps, then the formats in order."""
+    text = F.trim(F.col(col) if isinstance(col, str) else col)
+    return F.coalesce(parse_date(text), *[parse_date(text, (f,)) for f in formats])
+
+
 def quarter_label(date: Column) -> Column:
     """`T1`..`T4`; null for a null date."""
     return F.concat(F.lit("T"), F.quarter(date).cast("string"))

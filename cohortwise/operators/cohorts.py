@@ -18,10 +18,10 @@ from ..fixed_values import GEO_KEYS, MIN_PATIENTS
 from ..functions import risk_band, round_to, sql_text
 from .features import category_sql, is_scorable, require_features
 from .filters import having_min, not_null
-from .joins import BROADCAST_ROWS
+from .importance import with_importance
 from .model import RiskModel
 from .scoring import (
-    MAP_CATEGORIES, drop_helpers, factor_sql, linear_terms, linear_weights, scaled_sql, score, top_entries,
+    MAP_CATEGORIES, category_lookup, drop_helpers, factor_sql, linear_terms, linear_weights, scaled_sql, score, top_entries,
 )
 
 
@@ -49,10 +49,11 @@ class CohortSums:
         self.percentages = dict(percentages or {})
         self.factors = factors
         self.also_required = tuple(also_required)
-        # Short category lists are counted as sums of the one aggregate, long ones apart.
+        # Categories of short lists are sums of their own, those of long lists rows of the aggregate.
         shown = [c for c in model.spec.categorical if c not in GEO_KEYS]
         self.short = [c for c in shown if len(model.categories[c]) <= MAP_CATEGORIES]
         self.long = [c for c in shown if len(model.categories[c]) > MAP_CATEGORIES]
+        self.with_long = bool(factors and self.long)
         # A network needs every row's filled inputs before it can score.
         self.score_first = not model.is_linear
         self._importance = dict(zip(model.feature_names, model.by_feature("mean").tolist()))
@@ -104,34 +105,37 @@ class CohortSums:
     def aggregate(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Prepared rows to one row of sums per cohort; rows with a null key belong to none."""
         rows = self.rows(not_null(df, keys), keys)
-        sums = rows.groupBy(*keys).agg(*[
-            F.expr(f"{text} AS {sql_text.name(out)}") for out, text in self._sums(rows).items()
-        ])
-        if not (self.factors and self.long):
-            return sums
-        for c in self.long:
-            counted = self._long_counts(rows, keys, c)
-            same = [F.col(f"s.{k}") == F.col(f"l.{k}") for k in keys]
-            sums = sums.alias("s").join(counted.alias("l"), same, "left").select("s.*", f"l.long_{c}")
-        return sums
+        sums = self._sums(rows)
+        if not self.with_long:
+            return rows.groupBy(*keys).agg(*[F.expr(f"{text} AS {sql_text.name(out)}") for out, text in sums.items()])
+        # Each row adds to its cohort's sums and to the counts of its own category of every long
+        # list, in the same aggregate; counts are gathered per cohort after that.
+        first = self.model.category_offsets()
+        numbers = {c: {v: first[c] + i for i, v in enumerate(self.model.categories[c])} for c in self.long}
+        rows, at = category_lookup(rows, self.model, numbers, "f")
+        entries = ", ".join(["-1", *[f"CAST({at[c]} AS INT)" for c in self.long]])
+        counted = rows.withColumn("_idx", F.explode(F.expr(f"array_compact(array({entries}))"))).groupBy(*keys, "_idx").agg(
+            *[F.expr(f"{text} FILTER (WHERE _idx = -1) AS {sql_text.name(out)}") for out, text in sums.items()],
+            F.count_if("_alive").alias("_cnt"),
+        )
+        return self._gathered(self._with_features(counted), keys, list(sums))
 
-    def _long_counts(self, rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-        """Per cohort, (feature number, count) of every known category of a long list.
+    def _with_features(self, counted: DataFrame) -> DataFrame:
+        """Counts with the name and the importance of their feature; as many as the model has."""
+        spark, names = counted.sparkSession, self.model.feature_names
+        table = spark.createDataFrame(
+            [(i, name, float(self._importance[name])) for i, name in enumerate(names)], "_idx int, _feature string, importance double"
+        )
+        features = counted.select("*", F.col("_cnt").cast("double").alias("activation"))
+        return with_importance(features, table, "_idx", "left").drop("activation")
 
-        Counted per (cohort, category) first, so only counts are gathered: at most one entry per
-        category of the model.
-        """
-        first = self.model.category_offsets()[column]
-        numbers = {v: first + i for i, v in enumerate(self.model.categories[column])}
-        counts = rows.where("_alive").groupBy(
-            *keys, F.expr(category_sql(rows, self.model.spec, column)).alias("value")
-        ).agg(F.count("*").alias("cnt"))
-        table = rows.sparkSession.createDataFrame(list(numbers.items()), "value string, idx int")
-        if len(numbers) <= BROADCAST_ROWS:
-            table = F.broadcast(table)
-        return (
-            counts.join(table, "value").groupBy(*keys)
-            .agg(F.collect_list(F.struct("idx", "cnt")).alias(f"long_{column}"))
+    @staticmethod
+    def _gathered(counted: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+        """One row per cohort: its sums, and the counted features of long lists."""
+        entry = F.struct(F.col("_idx").alias("idx"), F.col("_cnt").alias("cnt"), F.col("_feature").alias("feature"), F.col("value"))
+        return counted.groupBy(*keys).agg(
+            *[F.max(F.when(F.col("_idx") == -1, F.col(name))).alias(name) for name in sums],
+            F.collect_list(F.when((F.col("_idx") >= 0) & (F.col("_cnt") > 0), entry)).alias("long"),
         )
 
     # -- sums to coarser sums
@@ -142,16 +146,24 @@ class CohortSums:
         `alive` marks finer cohorts whose rows survive cleaning as far as joined columns go: the
         others count as patients but not towards scores.
         """
-        if self.factors and self.long:
-            raise ValueError("factors of long category lists cannot be combined")
+        rows = not_null(sums, keys)
+        if self.with_long:
+            none = "named_struct('idx', -1, 'cnt', 0L, 'feature', CAST(NULL AS STRING), 'value', CAST(NULL AS DOUBLE))"
+            rows = rows.withColumn("_entry", F.explode(F.expr(f"concat(array({none}), long)")))
+        own = F.col("_entry.idx") == -1 if self.with_long else F.lit(True)
         parts = []
         for name in sums.columns:
             if name == "n" or name.startswith(("all_", "m_")):
-                parts.append(F.sum(name).alias(name))
+                parts.append(F.sum(F.when(own, F.col(name))).alias(name))
             elif name.startswith("alive_"):
                 col = F.col(name) if alive is None else F.when(alive, F.col(name))
-                parts.append(F.coalesce(F.sum(col), F.lit(0)).alias(name))
-        return not_null(sums, keys).groupBy(*keys).agg(*parts)
+                parts.append(F.coalesce(F.sum(F.when(own, col)), F.lit(0)).alias(name))
+        if not self.with_long:
+            return rows.groupBy(*keys).agg(*parts)
+        kept = F.lit(True) if alive is None else alive
+        counted = rows.groupBy(*keys, F.col("_entry.idx").alias("_idx"), F.col("_entry.feature").alias("_feature")).agg(
+            *parts, F.sum(F.when(kept, F.col("_entry.cnt"))).alias("_cnt"), F.sum(F.when(kept, F.col("_entry.value"))).alias("value"))
+        return self._gathered(counted, keys, [p for p in sums.columns if p not in keys and p.startswith(("n", "all_", "m_", "alive_"))])
 
     # -- sums to results
 
@@ -192,27 +204,24 @@ class CohortSums:
                 share = f"try_divide({sql_text.name(f'alive_cat_{c}_{j}')}, alive_n)"
                 entries.append(entry(f"{c}_{value}", share))
         arrays = [f"array({', '.join(entries)})"]
-        for c in self.long:
-            arrays += self._long_entries(c)
+        if self.with_long:
+            arrays += self._long_entries()
         return top_entries(f"concat({', '.join(arrays)})", self.factors)
 
-    def _long_entries(self, column: str) -> list[str]:
-        """Entries of a long category list: those that occur, and enough of the others to fill up."""
-        first = self.model.category_offsets()[column]
-        features = [f"{column}_{v}" for v in self.model.categories[column]]
-        names = f"array({', '.join(sql_text.text(f) for f in features)})"
-        sizes = f"array({', '.join(sql_text.number(self._importance[f]) for f in features)})"
-        held = f"coalesce({sql_text.name(f'long_{column}')}, CAST(array() AS ARRAY<STRUCT<idx: INT, cnt: BIGINT>>))"
-
-        def entry(idx: str, count: str) -> str:
-            value = f"try_divide({count}, alive_n) * get({sizes}, {idx} - {first})"
-            return factor_sql(value, idx, f"get({names}, {idx} - {first})")
+    def _long_entries(self) -> list[str]:
+        """Entries of long category lists: those that occur, and zeros for others.
 
-        absent = (
-            f"slice(array_except(sequence({first}, {first + len(features) - 1}), transform({held}, h -> h.idx)), "
-            f"1, {self.factors})"
+        Zeros tie by feature number, so of every list only as many of the first categories as
+        factors are wanted can be chosen.
+        """
+        held = f"transform(long, h -> {factor_sql('try_divide(h.value, alive_n)', 'h.idx', 'h.feature')})"
+        offsets = self.model.category_offsets()
+        first = ", ".join(
+            f"named_struct('idx', {offsets[c] + i}, 'feature', {sql_text.text(f'{c}_{v}')})"
+            for c in self.long for i, v in enumerate(self.model.categories[c][: self.factors])
         )
-        return [f"transform({held}, h -> {entry('h.idx', 'h.cnt')})", f"transform({absent}, i -> {entry('i', '0')})"]
+        absent = f"filter(array({first}), a -> NOT exists(long, h -> h.idx = a.idx))"
+        return [held, f"transform({absent}, a -> {factor_sql('try_divide(0D, alive_n)', 'a.idx', 'a.feature')})"]
 
     def finish(
         self, sums: DataFrame, keys: Sequence[str], min_rows: int | None = MIN_PATIENTS, digits: int = 4

@@ -21,9 +21,6 @@ from ..sources.readers import lowercase_columns, require_columns, with_defaults
 from .joins import join_counted
 from .quantiles import exact_percentiles
 
-# A categorical column with more values than this is taken for an identifier given by mistake: its
-# one-hot block would not fit a first dense layer either.
-MAX_CATEGORIES = 100_000
 ABSENT_CATEGORY = "missing"
 
 
@@ -219,29 +216,31 @@ def scale_apply(df: DataFrame, params: Mapping[str, tuple[float, float]]) -> Dat
 # --- E5, E6, E7 -----------------------------------------------------------------------------
 
 
-def one_hot_fit(
-    df: DataFrame, spec: FeatureSpec, max_categories: int = MAX_CATEGORIES
-) -> dict[str, list[str]]:
-    """The values of every categorical column, sorted, from one distinct over all of them.
+def category_values(df: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """The distinct values of every categorical column, one row (column, value) each.
 
-    Whole-number columns are sorted by number, so that `10` follows `9`.
+    Every column is counted by itself in its own group of one aggregate, so a row adds to its values
+    once per column and only distinct values leave an executor.
     """
     present = [c for c in spec.categorical if c in df.columns]
-    if not present:
-        return {c: [] for c in spec.categorical}
-    whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column"), category_text(df, spec, c).alias("value")) for c in present
-    ])
-    found = (
-        df.select(F.explode(pairs).alias("pair")).select("pair.*")
-        .where(F.col("value").isNotNull()).distinct()
-        .limit(max_categories + 1).collect()
-    )
-    if len(found) > max_categories:
-        raise ValueError(f"more than {max_categories} categories in {', '.join(present)}")
+    sets = df.agg(*[F.collect_set(category_text(df, spec, c)).alias(f"v{i}") for i, c in enumerate(present)])
+    pairs = [
+        F.expr(f"transform(v{i}, v -> named_struct('column', {sql_text.text(c)}, 'value', v))") for i, c in enumerate(present)
+    ]
+    return sets.select(F.explode(F.concat(*pairs)).alias("pair")).select("pair.*")
+
+
+def one_hot_fit(df: DataFrame, spec: FeatureSpec) -> dict[str, list[str]]:
+    """The values of every categorical column, sorted; one pass over the rows, run at once.
+
+    They become the model's own category lists, so as many as there are reach the driver.
+    Whole-number columns are sorted by number, so that `10` follows `9`.
+    """
     values: dict[str, list[str]] = {c: [] for c in spec.categorical}
-    for row in found:
+    if not any(c in df.columns for c in spec.categorical):
+        return values
+    whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+    for row in category_values(df, spec).collect():
         values[row["column"]].append(row["value"])
     return {
         c: sorted(v, key=lambda text: (0, int(text), "") if c in whole and text.lstrip("-").isdigit() else (1, 0, text))

@@ -14,6 +14,7 @@ from ..fixed_values import (
 )
 from ..functions import round_to, strip_prefix
 from .filters import exclude_prefixes, min_value
+from .joins import BROADCAST_ROWS, join_counted
 
 TOP_FEATURES = 10
 
@@ -110,10 +111,12 @@ def importance_by_category(importances: DataFrame, include_geo: bool = False) ->
     )
 
 
-def with_importance(activations: DataFrame, importances: DataFrame, by: str = "feature_idx") -> DataFrame:
+def with_importance(
+    activations: DataFrame, importances: DataFrame, by: str = "feature_idx", how: str = "inner", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Activations times importance, matched by feature (J3); `value` is their product.
 
-    The importances are as many as the model has features.
+    The importances are as many as the model has features; up to `max_rows` of them are broadcast.
     """
-    table = importances.select(by, "importance")
-    return activations.join(F.broadcast(table), by).withColumn("value", F.col("activation") * F.col("importance"))
+    matched = join_counted(activations, importances, [by], how, max_rows)
+    return matched.withColumn("value", F.col("activation") * F.col("importance")).drop("importance")

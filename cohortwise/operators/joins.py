@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..fixed_values import GEO_KEYS
@@ -22,30 +21,33 @@ def join_counted(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Equi-join that broadcasts `small` only after counting it.
+    """Equi-join that broadcasts `small` only if it has at most `max_rows` rows; runs a job.
 
     `small` is a table of aggregates whose size Catalyst can only guess from its inputs, so it would
-    plan a shuffle of `big`. It is computed once (kept on the executors, recomputed if one is lost)
-    and counted; above `max_rows` the plain join is left to Catalyst and AQE.
+    plan a shuffle of `big`. Its first `max_rows + 1` rows are read: if that is all of it, those rows
+    are broadcast, and it is not computed again; otherwise the plain join is left to Catalyst and
+    AQE. Nothing stays behind on the executors.
     """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    fits = small.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(small) if fits else small, list(on), how)
+    rows = small.limit(max_rows + 1).toArrow()
+    if rows.num_rows <= max_rows:
+        small = F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+    return big.join(small, list(on), how)
 
 
 def unique_municipalities(municipalities: DataFrame) -> DataFrame:
     """One row per (department, municipality).
 
-    Of several rows with one key the smallest by its other columns is kept, whole, so the choice
-    does not depend on row order.
+    Of several rows with one key the one with the fewest nulls is kept, whole, and of equally
+    complete ones the smallest by its other columns, so the choice does not depend on row order.
     """
     municipalities = require_columns(lowercase_columns(municipalities), GEO_KEYS)
     others = [name for name in municipalities.columns if name not in GEO_KEYS]
     if not others:
         return municipalities.distinct()
+    nulls = sum((F.col(f"`{name}`").isNull().cast("int") for name in others), F.lit(0))
     return (
         municipalities.groupBy(*GEO_KEYS)
-        .agg(F.min(F.struct(*others)).alias("_row"))
+        .agg(F.min(F.struct(nulls.alias("_nulls"), *others)).alias("_row"))
         .select(*GEO_KEYS, *[F.col(f"_row.{name}").alias(name) for name in others])
     )
 

@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 BINS = 1024
 # Intervals with at most this many rows are read out, sorted inside one array per rank.
 READ_OUT_ROWS = 5_000
-# Up to this many values per group Spark's own `percentile` is small enough and needs one job.
-DIRECT_ROWS = 200_000
 
 
 @dataclass
@@ -138,19 +136,26 @@ def _solve(df: DataFrame, columns, by, ranks: list[_Rank], read_out_rows: int) -
         _read_out(df, columns, by, waiting)
 
 
+def extents(df: DataFrame, column: Column, by: Column) -> dict[object, tuple[int, float, float]]:
+    """(count, minimum, maximum) of the finite values per group of `by`, in one aggregate."""
+    return {group: found for (group, _), found in _extent(df, {"x": column}, by).items()}
+
+
 def order_statistics(
     df: DataFrame,
     column: Column,
     by: Column,
     wanted: Mapping[object, Sequence[int]],
     read_out_rows: int = READ_OUT_ROWS,
+    known: Mapping[object, tuple[int, float, float]] | None = None,
 ) -> dict[object, dict[int, float]]:
-    """For every group of `by`, the values at the wanted 0-based ranks.
+    """For every group of `by`, the values at the wanted 0-based ranks; runs jobs.
 
-    `by` must take few values (strata, bins): the open intervals are held on the driver.
+    `by` must take few values (strata, bins): the open intervals are held on the driver. `known` are
+    the groups' `extents`, where the caller has them.
     """
     columns = {"x": column}
-    extent = _extent(df, columns, by)
+    extent = _extent(df, columns, by) if known is None else {(g, "x"): v for g, v in known.items()}
     ranks = {}
     for group, positions in wanted.items():
         n, low, high = extent.get((group, "x"), (0, None, None))
@@ -170,10 +175,9 @@ def exact_percentiles(
     columns: Mapping[str, Column],
     probabilities: Sequence[float],
     by: Column | None = None,
-    direct_rows: int = DIRECT_ROWS,
     read_out_rows: int = READ_OUT_ROWS,
 ) -> dict[tuple[object, str], list[float | None]]:
-    """Linear-interpolated percentiles of each column, per group of `by` if given.
+    """Linear-interpolated percentiles of each column, per group of `by` if given; runs jobs.
 
     Keys of the result are (group, column name), with group 0 when there is no `by`; null, NaN and
     infinite values are left out. `by` must take few values.
@@ -187,19 +191,6 @@ def exact_percentiles(
         for name in columns:
             out.setdefault((0, name), [None] * len(probabilities))
     filled = {key: value for key, value in extent.items() if value[0] > 0}
-    if filled and max(n for n, _, _ in filled.values()) <= direct_rows:
-        names = list(columns)
-        measures = [
-            F.percentile(_finite(columns[name]), F.array(*[F.lit(p) for p in probabilities])).alias(f"p{i}")
-            for i, name in enumerate(names)
-        ]
-        key = by if by is not None else F.lit(0)
-        for row in df.groupBy(key.alias("_group")).agg(*measures).collect():
-            for i, name in enumerate(names):
-                if (row["_group"], name) in filled:
-                    out[row["_group"], name] = list(row[f"p{i}"])
-        return out
-
     ranks: dict[tuple, _Rank] = {}
     for (group, name), (n, low, high) in filled.items():
         for p in probabilities:

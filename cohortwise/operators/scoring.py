@@ -200,8 +200,7 @@ def top_factors_per_row(
 
     The whole one-hot row is not built. Inactive categories all have the value 0 and tie by feature
     number, so only the first few of them can be chosen: as many as are wanted plus one per
-    categorical column, which may be active. Where that many exist, a negative number cannot be
-    among the highest and is left out of the sort.
+    categorical column, which may be active.
 
     No higher-order function touches the candidates: Spark interprets everything below one, while
     an array, its sort and its items are compiled.
@@ -214,15 +213,11 @@ def top_factors_per_row(
     numbers = {c: {v: offsets[c] + i for i, v in enumerate(model.categories[c])} for c in columns}
     df, at = category_lookup(df, model, numbers, "i")
     entries = []
-    enough_zeros = len(names) - first >= n + len(columns)
     for i, c in enumerate(model.spec.numeric):
         filled = filled_sql(c, sql_text.number(model.means[c]))
-        entry = factor_sql(
+        entries.append(factor_sql(
             f"{scaled_sql(model, c, filled)} * {sql_text.number(size[i])}", i, sql_text.text(c)
-        )
-        if enough_zeros:
-            entry = f"CASE WHEN {filled} >= {sql_text.number(model.scaling[c][0])} THEN {entry} END"
-        entries.append(entry)
+        ))
     for c in columns:
         if not model.categories[c]:
             continue
@@ -240,9 +235,8 @@ def top_factors_per_row(
     for k in range(n):
         item = f"get(_i_sorted, {k})"
         pair = f"named_struct('feature', {item}.feature, 'value', {shown.replace('e.', item + '.')})"
-        items.append(pair if enough_zeros else f"CASE WHEN {item} IS NOT NULL THEN {pair} END")
-    array = f"array({', '.join(items)})"
-    df = df.withColumn(output, F.expr(array if enough_zeros else f"array_compact({array})"))
+        items.append(f"CASE WHEN {item} IS NOT NULL THEN {pair} END")
+    df = df.withColumn(output, F.expr(f"array_compact(array({', '.join(items)}))"))
     return drop_helpers(df, "i")
 
 

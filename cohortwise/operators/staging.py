@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names in `spark.checkpoint.dir`; None when it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    """The folder the cluster names in `spark.checkpoint.dir`; None when it names none.
+
+    A folder of one machine is refused on a cluster: each executor would write to its own disk. The
+    cluster says that a local path is a mount all machines share by naming it as `file:`.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or None
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    if folder and folder.startswith("/") and not local:
+        scheme = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if scheme.startswith("file:"):
+            raise ValueError(f"spark.checkpoint.dir {folder} is a folder of each machine; name one that all share")
+    return folder
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """The table, computed once.
+    """The table, computed once; `release` it when it is no longer read.
 
     With a shared folder it is written there as Parquet and read back: the lineage ends, each later
     job reads only its columns, and a lost executor costs nothing. Without one it is kept on the
@@ -25,4 +35,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder.rstrip('/')}/cohortwise/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def release(staged: DataFrame) -> None:
+    """Deletes a staged table. DataFrames that read it cannot be computed any more."""
+    path = getattr(staged, "_staged_path", None)
+    if path is None:
+        staged.unpersist()
+        return
+    context = staged.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

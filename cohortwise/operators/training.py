@@ -22,11 +22,10 @@ from .model import Layer, RiskModel
 from .population import group_population
 from .scoring import scaled_sql, score
 from .splits import random_split, stratified_split
-from .staging import stage
+from .staging import release, stage
 
-# The normal equations need one scan but a p x p matrix on the driver.
-NORMAL_EQUATION_FEATURES = 4_096
 RIDGE = 1e-3
+MAX_ITERATIONS = 500
 
 
 @dataclass(frozen=True)
@@ -38,6 +37,11 @@ class Fitted:
     feature_count: int
     train: Mapping[str, float]
     test: Mapping[str, float]
+    staged: DataFrame  # what `rows` reads
+
+    def release(self) -> None:
+        """Deletes the staged rows; `rows` cannot be read any more, the model and errors stay."""
+        release(self.staged)
 
 
 def _filled(spec: FeatureSpec, means: Mapping[str, float]) -> dict[str, str]:
@@ -79,17 +83,18 @@ def feature_vectors(df: DataFrame, model: RiskModel, output: str = "features") -
     return assembler.transform(df).drop("_numbers", *helpers)
 
 
-def _fit_linear(train: DataFrame, prepared: RiskModel, target: str, ridge: float) -> tuple[Layer, ...]:
-    width = len(prepared.feature_names)
+def _fit_linear(train: DataFrame, prepared: RiskModel, target: str, ridge: float, solver: str, max_iterations: int) -> tuple[Layer, ...]:
     fitted = LinearRegression(
         featuresCol="features", labelCol="_label", regParam=ridge, elasticNetParam=0.0,
-        standardization=False, solver="normal" if width <= NORMAL_EQUATION_FEATURES else "l-bfgs",
+        standardization=False, solver=solver, maxIter=max_iterations, tol=1e-12,
     ).fit(feature_vectors(train, prepared).select("features", F.col(target).cast("double").alias("_label")))
+    if solver != "normal" and fitted.summary.totalIterations >= max_iterations:
+        raise ValueError(f"no convergence in {max_iterations} iterations; raise max_iterations or the ridge")
     weights = np.asarray(fitted.coefficients.toArray(), dtype=float).reshape(-1, 1)
     return (Layer(weights, np.array([float(fitted.intercept)])),)
 
 
-def _fit(rows: DataFrame, spec: FeatureSpec, target: str, fit_on: str, trainer) -> Fitted:
+def _fit(rows: DataFrame, staged: DataFrame, spec: FeatureSpec, target: str, fit_on: str, trainer) -> Fitted:
     if fit_on not in ("train", "all"):
         raise ValueError(f"unknown fit_on {fit_on!r}")
     train = rows.where(~F.col("is_test"))
@@ -99,7 +104,7 @@ def _fit(rows: DataFrame, spec: FeatureSpec, target: str, fit_on: str, trainer)
     errors = {
         row["is_test"]: row for row in _errors(score(rows, model), target)
     }
-    return Fitted(model, rows, len(model.feature_names), errors.get(False, {}), errors.get(True, {}))
+    return Fitted(model, rows, len(model.feature_names), errors.get(False, {}), errors.get(True, {}), staged)
 
 
 def _errors(scored: DataFrame, target: str) -> list[dict]:
@@ -110,10 +115,10 @@ def _errors(scored: DataFrame, target: str) -> list[dict]:
     return [row.asDict() for row in found.collect()]
 
 
-def _trainer(trainer, ridge):
+def _trainer(trainer, ridge, solver, max_iterations):
     if trainer != "linear":
         return trainer
-    return lambda train, prepared, target: _fit_linear(train, prepared, target, ridge)
+    return lambda train, prepared, target: _fit_linear(train, prepared, target, ridge, solver, max_iterations)
 
 
 def fit_risk_model(
@@ -129,13 +134,17 @@ def fit_risk_model(
     fit_on: str = "train",
     trainer="linear",
     ridge: float = RIDGE,
+    solver: str = "normal",
+    max_iterations: int = MAX_ITERATIONS,
 ) -> Fitted:
     """The individual model: prepare, split by target bins, fit, evaluate.
 
     Means, scaler and categories come from the training rows only, so the test rows stay unseen
     (`fit_on="all"` uses all rows). `row_key` and `order` are those of `stratified_split`. `trainer` is "linear" or a function
-    (train rows, prepared model, target) -> layers. The prepared rows are staged once because
-    several jobs read them.
+    (train rows, prepared model, target) -> layers. `solver` is that of the linear one: "normal" is
+    exact, takes one scan and up to 4,096 features; "l-bfgs" takes any number and fails if it has
+    not converged. The prepared rows are staged once because several jobs read them; `release` the
+    result when they are no longer needed.
     """
     rows = prepare_patients(patients, as_of)
     require_features(rows, spec)
@@ -143,7 +152,7 @@ def fit_risk_model(
     rows = rows.where(F.col(target).isNotNull()).where(is_scorable(rows, spec)).select(*keep)
     rows = stage(rows, "fit-rows")
     split = stratified_split(rows, target, test_fraction=test_fraction, seed=seed, row_key=row_key, order=order)
-    return _fit(split, spec, target, fit_on, _trainer(trainer, ridge))
+    return _fit(split, rows, spec, target, fit_on, _trainer(trainer, ridge, solver, max_iterations))
 
 
 def fit_population_model(
@@ -154,15 +163,21 @@ def fit_population_model(
     target: str = "risk_score",
     test_fraction: float = 0.2,
     seed: int = 42,
+    uniform: Column | None = None,
     fit_on: str = "train",
     trainer="linear",
     ridge: float = RIDGE,
+    solver: str = "normal",
+    max_iterations: int = MAX_ITERATIONS,
 ) -> Fitted:
-    """The population model: group the patients, split the groups, fit, evaluate."""
+    """The population model: group the patients, split the groups, fit, evaluate.
+
+    `uniform` is that of `random_split`; the other options are those of `fit_risk_model`.
+    """
     groups = prepare_groups(group_population(patients, municipalities))
     groups = stage(groups.where(F.col(target).isNotNull()), "population-groups")
-    split = random_split(groups, test_fraction, seed)
-    return _fit(split, spec, target, fit_on, _trainer(trainer, ridge))
+    split = random_split(groups, test_fraction, seed, uniform=uniform)
+    return _fit(split, groups, spec, target, fit_on, _trainer(trainer, ridge, solver, max_iterations))
 
 
 def holdout_metrics(fitted: Fitted, target: str = "risk_score") -> DataFrame:

@@ -15,7 +15,7 @@ from ..fixed_values import (
 from . import driver_model as M
 from .driver_views import AS_OF, MUNICIPALITY_COLUMNS, PATIENT_COLUMNS
 
-PATIENTS = "patients_v AS (SELECT {} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)".format(
+PATIENTS = "patients_v AS (SELECT {} FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)".format(
     ", ".join(f"{text} AS {name}" for name, (text, _) in PATIENT_COLUMNS.items())
 )
 MUNICIPALITIES = "municipalities_v AS (SELECT {} FROM nation JOIN region ON n_regionkey = r_regionkey)".format(

@@ -2,7 +2,8 @@
 
 The expressions are plain SQL that Spark and the checking engine read alike: they define the input,
 not the operators. A view joins only the tables its wanted columns come from, so a report over
-order columns does not shuffle for customer columns it never reads.
+order columns does not shuffle for customer columns it never reads. The joins are left ones, so the
+view has the rows of `orders` whatever columns are wanted.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def patients(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = N
     df = table(spark, sf_dir, "orders")
     for name, left, right in _CHAIN[:depth]:
         other = table(spark, sf_dir, name)
-        df = df.join(other, F.col(left) == F.col(right))
+        df = df.join(other, F.col(left) == F.col(right), "left")
     return df.select(*[F.expr(PATIENT_COLUMNS[c][0]).alias(c) for c in columns])
 
 

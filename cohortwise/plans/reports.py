@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import (
-    ACCESS_LABELS, AGE_EDGES, AGE_LABELS, AREA_LABELS, CATEGORICAL_FEATURES, EDUCATION_LABELS, GEO_KEYS,
+    ACCESS_LABELS, AGE_EDGES, AGE_LABELS, AREA_LABELS, EDUCATION_LABELS, GEO_KEYS,
     INFRASTRUCTURE_COLUMNS, MIN_PATIENTS, PRECIPITATION_EDGES, PRECIPITATION_UNIT, RISK_EDGES,
     TEMPERATURE_EDGES, TEMPERATURE_UNIT, TOP_FACTORS, UNKNOWN_LABEL,
 )
@@ -123,15 +123,11 @@ def distribution_by_year(patients: DataFrame, feature: str) -> DataFrame:
 
 
 def distribution_map_by_year(patients: DataFrame, feature: str) -> DataFrame:
-    """One map value -> percentage per year.
+    """One map value -> percentage per year, for any column.
 
-    For categorical features and flags only, whose values are few: a map of a measurement would
-    gather a year's distinct values in one row. The long form serves those.
+    A map holds a year's distinct values in one row; `distribution_by_year` has one row per value and
+    is the form for a column of unbounded precision.
     """
-    few = set(CATEGORICAL_FEATURES) | {"climate_classification", "is_smoker", "bpm_meds", "diabetes", "family_history",
-                                       "has_sewage", "cardiovascular_risk", "pandemic_period", *INFRASTRUCTURE_COLUMNS}
-    if feature not in few:
-        raise ValueError(f"{feature} is not a categorical feature; use distribution_by_year")
     long = distribution_by_year(patients, feature)
     return long.groupBy("diagnosis_year").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "percentage")))).alias("percentages")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from .readers import read_csv
 
 
 def write_importances(importances: DataFrame, path: str) -> None:
@@ -18,13 +19,13 @@ def write_importances(importances: DataFrame, path: str) -> None:
         importances.orderBy(F.col("importance").desc(), *tie)
         .select(F.col("feature").alias("Feature"), F.col("importance").alias("Importance"))
         .coalesce(1)
-        .write.mode("overwrite").option("header", True).csv(path)
+        .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
     )
 
 
 def read_importances(spark: SparkSession, path: str) -> DataFrame:
     """The table `write_importances` wrote."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = read_csv(spark, path)
     return raw.select(
         F.col("Feature").alias(schemas.IMPORTANCES[0].name),
         F.col("Importance").try_cast("double").alias(schemas.IMPORTANCES[1].name),

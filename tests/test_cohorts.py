@@ -66,6 +66,23 @@ def test_long_category_lists(spark, monkeypatch, make):
     assert plain(long) == plain(short)
 
 
+@pytest.mark.parametrize("make", [small_spec_model, two_layer_model])
+def test_long_lists_can_be_combined(spark, monkeypatch, make):
+    """Sums of sums with long lists, and with cohorts whose rows do not survive."""
+    df, model = to_spark(spark, small_patients()), make()
+    wanted = cohort_summary(df, "sex", model, factors=6, impute_scope="training").collect()
+    for module in (scoring, cohorts):
+        monkeypatch.setattr(module, "MAP_CATEGORIES", 1)
+    sums = cohorts.CohortSums(model, "training", factors=6)
+    fine = sums.aggregate(df, ["sex", "municipality"])
+    found = sums.finish(sums.combine(fine, ["sex"]), ["sex"]).collect()
+    def plain(rows):
+        return {r.sex: (r.n_patients, r.avg_risk, [(f.feature, pytest.approx(f.value)) for f in r.top_factors]) for r in rows}
+    assert plain(found) == plain(wanted)
+    none = sums.finish(sums.combine(fine, ["sex"], F.lit(False)), ["sex"]).collect()
+    assert all(r.avg_risk is None and r.top_factors == [] for r in none)
+
+
 def test_raw_count_and_surviving_mean(spark):
     """Ten rows, one with a null category: ten are counted, nine are scored."""
     frame = small_patients(10)

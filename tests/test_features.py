@@ -105,10 +105,10 @@ def test_missing_category_is_a_category_of_the_population_spec(spark):
     assert df.select(features.is_scorable(df, spec).alias("s")).where("s").count() == 2
 
 
-def test_too_many_categories(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="more than 20"):
-        one_hot_fit(df, FeatureSpec((), ("c",), "robust"), max_categories=20)
+def test_many_categories(spark):
+    df = spark.range(30_000).select((F.col("id") % 20_011).cast("string").alias("c"), F.lit(None).cast("string").alias("d"))
+    found = one_hot_fit(df, FeatureSpec((), ("c", "d", "absent"), "robust"))
+    assert len(found["c"]) == 20_011 and found["d"] == found["absent"] == []
 
 
 def test_noise_is_repeatable_and_leaves_originals(spark):

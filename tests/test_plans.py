@@ -42,6 +42,30 @@ def test_cohort_report_shuffles_only_partial_sums(stored, factors):
     assert "partial_count" in below
 
 
+def test_long_lists_cost_no_more_scans(stored, monkeypatch):
+    """One scan of the patients and one shuffle of sums more, however long the lists are."""
+    from cohortwise.operators import cohorts, scoring
+
+    def scans(limit):
+        for module in (cohorts, scoring):
+            monkeypatch.setattr(module, "MAP_CATEGORIES", limit)
+        return plan(reports.summary_by_department(stored[0], M.individual_model(), as_of=AS_OF)).count("FileScan")
+
+    assert scans(64) == scans(3) == scans(1) == 1
+
+
+def test_factors_of_combined_cohorts_do_not_depend_on_list_length(stored, monkeypatch):
+    from cohortwise.operators import cohorts, scoring
+
+    def found(limit):
+        for module in (cohorts, scoring):
+            monkeypatch.setattr(module, "MAP_CATEGORIES", limit)
+        df = reports.profile_by_infrastructure(stored[0], M.individual_model(), as_of=AS_OF, factors=3)
+        return [(r.indicator, r.access_code, [(f.feature, round(f.value, 9)) for f in r.top_factors]) for r in df.collect()]
+
+    assert found(64) == found(3)
+
+
 def test_scoring_a_linear_model_moves_nothing(stored):
     text = plan(score(prepare_patients(stored[0], AS_OF), M.individual_model()))
     assert "Exchange" not in text and "Python" not in text

@@ -25,19 +25,18 @@ def table(spark):
     return df, data, group
 
 
-@pytest.mark.parametrize("direct,read_out", [(10**6, 5000), (0, 50), (0, 1)])
-def test_percentiles_match_numpy(table, direct, read_out):
+@pytest.mark.parametrize("read_out", [5000, 50, 1])
+def test_percentiles_match_numpy(table, read_out):
     df, data, _ = table
-    found = exact_percentiles(df, {c: F.col(c) for c in data}, PROBS, direct_rows=direct, read_out_rows=read_out)
+    found = exact_percentiles(df, {c: F.col(c) for c in data}, PROBS, read_out_rows=read_out)
     for c, x in data.items():
         assert found[0, c] == pytest.approx(np.percentile(x, np.array(PROBS) * 100), rel=1e-12, abs=1e-12), c
 
 
-@pytest.mark.parametrize("direct", [10**6, 0])
-def test_grouped_percentiles(table, direct):
+def test_grouped_percentiles(table):
     df, data, group = table
     found = exact_percentiles(
-        df, {"heavy": F.col("heavy")}, (0.25, 0.5, 0.75), by=F.col("g"), direct_rows=direct, read_out_rows=20
+        df, {"heavy": F.col("heavy")}, (0.25, 0.5, 0.75), by=F.col("g"), read_out_rows=20
     )
     for g in range(3):
         assert found[g, "heavy"] == pytest.approx(np.percentile(data["heavy"][group == g], [25, 50, 75]), rel=1e-12)
@@ -45,10 +44,9 @@ def test_grouped_percentiles(table, direct):
 
 def test_nulls_nan_and_empty(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None), (None, None), (3.0, None)], "x double, y double")
-    for direct in (10, 0):
-        found = exact_percentiles(df, {"x": F.col("x"), "y": F.col("y")}, (0.5,), direct_rows=direct)
-        assert found[0, "x"] == [2.0]
-        assert found[0, "y"] == [None]
+    found = exact_percentiles(df, {"x": F.col("x"), "y": F.col("y")}, (0.5,))
+    assert found[0, "x"] == [2.0]
+    assert found[0, "y"] == [None]
 
 
 def test_order_statistics(table):
@@ -66,5 +64,5 @@ def test_narrowing_takes_few_passes(table, monkeypatch):
     passes = []
     real = quantiles._narrow
     monkeypatch.setattr(quantiles, "_narrow", lambda *a: (passes.append(1), real(*a)))
-    exact_percentiles(df, {"normal": F.col("normal")}, (0.5,), direct_rows=0, read_out_rows=10)
+    exact_percentiles(df, {"normal": F.col("normal")}, (0.5,), read_out_rows=10)
     assert len(passes) <= 2

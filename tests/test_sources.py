@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from brute import small_patients, small_spec_model, to_spark, two_layer_model
 from cohortwise.operators.filters import exclude_prefixes, having_min, min_value, optional_eq, scorable
 from cohortwise.operators.importance import feature_importance
 from cohortwise.operators.scoring import score
-from cohortwise.operators.staging import shared_folder, stage
+from cohortwise.operators.staging import release, shared_folder, stage
 from cohortwise.sources import (
     lowercase_columns, read_importances, read_municipalities, read_patients, require_columns,
     with_defaults, write_importances,
@@ -31,6 +32,50 @@ def test_csv_is_typed_by_name(spark, tmp_path):
     assert tuple(rows[1]) == (None, None, "Pereira", "F", 9, None, 22.5, "b")
 
 
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "patients.csv"
+    path.write_text(
+        'age,occupation,department,diagnosis_date\n30,"He said ""x"", y",A,2021-03-05\n31,"a\nb",B,2021-03-06\n32,C:\\x,"",2021-03-07\n')
+    rows = read_patients(spark, str(path), multi_line=True).orderBy("age").collect()
+    assert [(r.age, r.occupation, r.department, r.diagnosis_date.day) for r in rows] == [
+        (30.0, 'He said "x", y', "A", 5), (31.0, "a\nb", "B", 6), (32.0, "C:\\x", None, 7)]
+    for broken in ("age,occupation,department\n1,2\n", "age,occupation\n1,2,3\n", 'age,occupation\n1,"a\nb"\n'):
+        path.write_text(broken)
+        with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+            read_patients(spark, str(path)).select("age").collect()
+
+
+@pytest.mark.parametrize("text", ["2021-03-05", "2021/03/05", "03/05/2021", "Mar 5 2021", "March 5, 2021", "2021-03-05 10:00:00"])
+def test_date_formats(spark, tmp_path, text):
+    path = tmp_path / "patients.csv"
+    path.write_text(f'age,diagnosis_date\n1,"{text}"\n2,\n3,nonsense\n')
+    dates = [r.diagnosis_date for r in read_patients(spark, str(path)).orderBy("age").collect()]
+    assert dates[0].date() == dt.date(2021, 3, 5) and dates[1:] == [None, None]
+
+
+def test_a_date_column_without_a_date_is_an_error(spark, tmp_path):
+    path = tmp_path / "patients.csv"
+    path.write_text("age,diagnosis_date\n1,05.03.2021\n")
+    with pytest.raises(ValueError, match="diagnosis_date"):
+        read_patients(spark, str(path))
+    assert read_patients(spark, str(path), date_formats=["dd.MM.yyyy"]).first().diagnosis_date == dt.datetime(2021, 3, 5)
+    path.write_text("age,diagnosis_date\n1,\n")
+    assert read_patients(spark, str(path)).first().diagnosis_date is None
+
+
+def test_a_folder_of_csv_parts(spark, tmp_path):
+    (tmp_path / "parts").mkdir()
+    for i in range(2):
+        (tmp_path / "parts" / f"part-{i}.csv").write_text(f"age\n{i}\n")
+    assert sorted(r.age for r in read_patients(spark, str(tmp_path / "parts")).collect()) == [0.0, 1.0]
+
+
+def test_importance_names_with_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(0, 'a "b", c', 1.0)], "feature_idx int, feature string, importance double")
+    write_importances(df, str(tmp_path / "out"))
+    assert read_importances(spark, str(tmp_path / "out")).first().feature == 'a "b", c'
+
+
 def test_parquet_gets_the_same_types(spark, tmp_path):
     spark.createDataFrame([("Caldas", "Manizales", 1.5, "1000-1500")], "Department string, Municipality string, Latitude double, annual_precipitation string") \
         .write.parquet(str(tmp_path / "m"))
@@ -94,6 +139,14 @@ def test_saved_model_scores_the_same(spark, tmp_path, make):
     assert feature_importance(back.weights(spark)).count() == len(model.feature_names)
 
 
+def test_released_tables_are_gone(spark):
+    staged = stage(spark.range(10), "unit")
+    path = staged.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path)
+    release(staged)
+    assert not os.path.exists(path)
+
+
 def test_stage_writes_to_the_shared_folder(spark):
     assert shared_folder(spark)
     staged = stage(spark.range(10).withColumn("x", F.col("id") * 2), "unit")
