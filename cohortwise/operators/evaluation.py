@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hash_uniform
 from .quantiles import exact_percentiles
+from .staging import release, stage
 
 HISTOGRAM_BINS = 30
 ERROR_RANGES = 5
@@ -76,7 +77,7 @@ def histograms(df: DataFrame, columns: Mapping[str, Column], n: int = HISTOGRAM_
     """Counts in `n` equal bins per column, empty bins included; the last bin is closed.
 
     Two scans: the extents, then all columns counted together (at most `n` groups per column leave
-    an executor).
+    an executor). The first runs at once.
     """
     extents = _extents(df, columns)
     cells = []
@@ -106,13 +107,23 @@ def histograms(df: DataFrame, columns: Mapping[str, Column], n: int = HISTOGRAM_
 def residual_histogram(
     df: DataFrame, truth: str = "risk_score", predicted: str = "score", n: int = HISTOGRAM_BINS
 ) -> DataFrame:
-    """Histograms of the residuals, the truth and the prediction in long form."""
+    """Histograms of the residuals, the truth and the prediction in long form; runs jobs.
+
+    The scores are computed once, into a staged table that both scans read; the result, a row per
+    bin, is read before that table is released.
+    """
     residual = F.col(truth) - F.col(predicted)
-    return histograms(df, {
-        "residual": residual,
-        "truth": F.when(residual.isNotNull(), F.col(truth).cast("double")),
-        "prediction": F.when(residual.isNotNull(), F.col(predicted).cast("double")),
-    }, n)
+    staged = stage(df.where(residual.isNotNull()).select(
+        residual.alias("residual"), F.col(truth).cast("double").alias("truth"), F.col(predicted).cast("double").alias("prediction"),
+    ), "residuals")
+    return _read_and_release(histograms(staged, {c: F.col(c) for c in ("residual", "truth", "prediction")}, n), staged)
+
+
+def _read_and_release(found: DataFrame, staged: DataFrame) -> DataFrame:
+    """A result of a few rows as a table of its own, without the staged table it came from."""
+    out = found.sparkSession.createDataFrame(found.toArrow(), found.schema)
+    release(staged)
+    return out
 
 
 def error_by_range(
@@ -123,15 +134,15 @@ def error_by_range(
 
     One row per range that has rows: count, extremes, quartiles, and the whiskers, which are the
     outermost errors within 1.5 interquartile ranges of the box; errors beyond them are counted.
+    Runs jobs: the errors are computed once, into a staged table that every pass reads.
     """
     error = F.abs(F.col(truth) - F.col(predicted))
-    pairs = df.select(error.alias("_error"), F.when(error.isNotNull(), F.col(truth)).alias("_truth"))
+    pairs = stage(df.where(error.isNotNull()).select(error.alias("_error"), F.col(truth).alias("_truth")), "errors")
     binned, edges = equal_width_cut(pairs, "_truth", bins, "_range")
     boxes = exact_percentiles(
         binned, {"error": F.col("_error")}, (0.25, 0.5, 0.75), by=F.col("_range"), **quantile_options
     )
-    # A handful of numbers per range, looked up by range number. A join with them would let the
-    # optimizer derive a filter from its key and evaluate the score once more for that.
+    # A handful of numbers per range, looked up by range number.
     held = [boxes.get((g, "error")) or [None] * 3 for g in range(bins)]
 
     def per_range(values, idx: Column) -> Column:
@@ -152,11 +163,11 @@ def error_by_range(
     ).where(F.col("n") > 0)
     idx = F.col("range_idx")
     ends = {"low": edges[:-1], "high": edges[1:]} if edges else {"low": [None] * bins, "high": [None] * bins}
-    return found.select(
+    return _read_and_release(found.select(
         "range_idx", *[per_range(v, idx).alias(c) for c, v in ends.items()],
         *[per_range([q[i] for q in held], idx).alias(c) for i, c in enumerate(("q1", "median", "q3"))],
         "n", "min_error", "max_error", "whisker_low", "whisker_high", "n_outliers",
-    )
+    ), pairs)
 
 
 def prediction_points(

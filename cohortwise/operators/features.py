@@ -175,11 +175,17 @@ def fill_missing(df: DataFrame, columns: Sequence[str], value: str = "Missing")
 # --- E3, E4 ---------------------------------------------------------------------------------
 
 
-def robust_scale_fit(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> dict[str, tuple[float, float]]:
-    """(median, interquartile range) per column, exact; a zero range is replaced by 1."""
+def robust_scale_fit(
+    df: DataFrame, columns: Mapping[str, Column] | Sequence[str],
+    known: Mapping[tuple[object, str], tuple[int, float, float]] | None = None,
+) -> dict[str, tuple[float, float]]:
+    """(median, interquartile range) per column, exact; a zero range is replaced by 1.
+
+    Runs jobs; `known` is that of `exact_percentiles`.
+    """
     if not isinstance(columns, Mapping):
         columns = {c: F.col(c) for c in columns}
-    found = exact_percentiles(df, columns, (0.25, 0.5, 0.75))
+    found = exact_percentiles(df, columns, (0.25, 0.5, 0.75), known=known)
     out = {}
     for name in columns:
         low, median, high = found[0, name]
@@ -216,6 +222,11 @@ def scale_apply(df: DataFrame, params: Mapping[str, tuple[float, float]]) -> Dat
 # --- E5, E6, E7 -----------------------------------------------------------------------------
 
 
+def category_sets(df: DataFrame, spec: FeatureSpec, columns: Sequence[str]) -> list[Column]:
+    """Aggregates `v0`, `v1`, ...: the distinct values of every column."""
+    return [F.collect_set(category_text(df, spec, c)).alias(f"v{i}") for i, c in enumerate(columns)]
+
+
 def category_values(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """The distinct values of every categorical column, one row (column, value) each.
 
@@ -223,7 +234,7 @@ def category_values(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     once per column and only distinct values leave an executor.
     """
     present = [c for c in spec.categorical if c in df.columns]
-    sets = df.agg(*[F.collect_set(category_text(df, spec, c)).alias(f"v{i}") for i, c in enumerate(present)])
+    sets = df.agg(*category_sets(df, spec, present))
     pairs = [
         F.expr(f"transform(v{i}, v -> named_struct('column', {sql_text.text(c)}, 'value', v))") for i, c in enumerate(present)
     ]
@@ -236,16 +247,20 @@ def one_hot_fit(df: DataFrame, spec: FeatureSpec) -> dict[str, list[str]]:
     They become the model's own category lists, so as many as there are reach the driver.
     Whole-number columns are sorted by number, so that `10` follows `9`.
     """
-    values: dict[str, list[str]] = {c: [] for c in spec.categorical}
-    if not any(c in df.columns for c in spec.categorical):
-        return values
+    present = [c for c in spec.categorical if c in df.columns]
+    if not present:
+        return {c: [] for c in spec.categorical}
+    row = df.agg(*category_sets(df, spec, present)).collect()[0]
+    return sorted_categories(df, spec, {c: row[f"v{i}"] for i, c in enumerate(present)})
+
+
+def sorted_categories(df: DataFrame, spec: FeatureSpec, found: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
-    for row in category_values(df, spec).collect():
-        values[row["column"]].append(row["value"])
-    return {
-        c: sorted(v, key=lambda text: (0, int(text), "") if c in whole and text.lstrip("-").isdigit() else (1, 0, text))
-        for c, v in values.items()
-    }
+
+    def place(column: str, text: str) -> tuple:
+        return (0, int(text), "") if column in whole and text.lstrip("-").isdigit() else (1, 0, text)
+
+    return {c: sorted(found.get(c, ()), key=lambda text: place(c, text)) for c in spec.categorical}
 
 
 def one_hot_names(categories: Mapping[str, Sequence[str]]) -> list[str]:

@@ -22,11 +22,6 @@ def not_null(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     return df.where(all_of(F.col(name).isNotNull() for name in columns)) if columns else df
 
 
-def complete(columns: Iterable[str]) -> Column:
-    """Whether every column of the row has a value: a flag, so that raw counts stay possible."""
-    return all_of(F.col(name).isNotNull() for name in columns)
-
-
 def scorable(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """Rows without a null in the model inputs."""
     return df.dropna(subset=list(inputs))

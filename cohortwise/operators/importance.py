@@ -54,11 +54,11 @@ def importance_summary(report: DataFrame) -> DataFrame:
 
 def geo_importance(importances: DataFrame, prefix: str, top: int = TOP_FEATURES) -> DataFrame:
     """The most important features under a prefix, named without it, with their total number."""
-    under = importances.where(F.col("feature").startswith(prefix))
-    total = under.agg(F.count("*").alias("total")).scalar()
+    # At most one row per feature, so this window over all of them stays small.
+    under = importances.where(F.col("feature").startswith(prefix)).withColumn(
+        "total", F.count("*").over(Window.partitionBy()))
     return top_n(under, "importance", top).select(
-        "feature_idx", strip_prefix(F.col("feature"), prefix).alias("name"), "importance",
-        total.alias("total"),
+        "feature_idx", strip_prefix(F.col("feature"), prefix).alias("name"), "importance", "total",
     )
 
 

@@ -176,13 +176,15 @@ def exact_percentiles(
     probabilities: Sequence[float],
     by: Column | None = None,
     read_out_rows: int = READ_OUT_ROWS,
+    known: Mapping[tuple[object, str], tuple[int, float, float]] | None = None,
 ) -> dict[tuple[object, str], list[float | None]]:
     """Linear-interpolated percentiles of each column, per group of `by` if given; runs jobs.
 
     Keys of the result are (group, column name), with group 0 when there is no `by`; null, NaN and
-    infinite values are left out. `by` must take few values.
+    infinite values are left out. `by` must take few values. `known` has the (count, minimum,
+    maximum) of every key, where the caller has them.
     """
-    extent = _extent(df, columns, by)
+    extent = _extent(df, columns, by) if known is None else known
     probabilities = [float(p) for p in probabilities]
     out: dict[tuple[object, str], list[float | None]] = {
         key: [None] * len(probabilities) for key, (n, _, _) in extent.items() if n == 0

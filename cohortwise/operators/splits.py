@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import TARGET_EDGES
 from ..functions import digitize, hash_uniform
-from .quantiles import order_statistics
+from .quantiles import extents, order_statistics
 
 
 def _row_hash(df: DataFrame, row_key: Sequence[str] | None, seed: int) -> Column:
@@ -49,7 +49,7 @@ def stratified_split(
     order: Column | None = None,
     flag: str = "is_test",
 ) -> DataFrame:
-    """The rows with a test flag: an exact share of every target bin.
+    """The rows with a test flag: an exact share of every target bin; runs jobs.
 
     Inside a bin the rows with the lowest `order` value (a hash of the row by default) form the
     test set. Instead of ranking the rows of a bin in one task, the hash value at the wanted rank is
@@ -58,10 +58,10 @@ def stratified_split(
     """
     stratum = digitize(F.col(target).cast("double"), edges)
     order = _row_hash(df, row_key, seed) if order is None else order.cast("double")
-    counted = df.groupBy(stratum.alias("b")).agg(F.count("*").alias("n")).collect()
-    counts = {r["b"]: r["n"] for r in counted if r["b"] is not None}
+    known = extents(df, order, stratum)
+    counts = {b: n for b, (n, _, _) in known.items()}
     wanted = {b: [n - 1] for b, n in _test_sizes(counts, test_fraction).items() if n > 0}
-    limits = order_statistics(df, order, stratum, wanted) if wanted else {}
+    limits = order_statistics(df, order, stratum, wanted, known=known) if wanted else {}
     is_test = F.when(stratum.isNull(), F.lit(None).cast("boolean"))
     for b, ranks in limits.items():
         is_test = is_test.when(stratum == F.lit(b), order <= F.lit(next(iter(ranks.values()))))

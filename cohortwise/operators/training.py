@@ -12,10 +12,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sql_text
+from ..functions.numbers import not_nan
 from .evaluation import regression_metrics
 from .features import (
-    INDIVIDUAL, POPULATION, FeatureSpec, category_text, column_means, filled_sql, is_scorable,
-    one_hot_fit, prepare_groups, prepare_patients, require_features, robust_scale_fit,
+    INDIVIDUAL, POPULATION, FeatureSpec, category_sets, category_text, filled_sql, is_scorable,
+    prepare_groups, prepare_patients, require_features, robust_scale_fit, sorted_categories,
     standard_scale_fit,
 )
 from .model import Layer, RiskModel
@@ -49,14 +50,28 @@ def _filled(spec: FeatureSpec, means: Mapping[str, float]) -> dict[str, str]:
 
 
 def fit_preparation(df: DataFrame, spec: FeatureSpec) -> RiskModel:
-    """Means, scaling and categories of the rows, as a model whose weights are all zero."""
-    means = column_means(df, spec.numeric)
+    """Means, scaling and categories of the rows, as a model whose weights are all zero.
+
+    Means, extremes and categories come from one aggregate. A filled column keeps the extremes of
+    its values, as their mean lies between them, so the scaler needs no pass to find them.
+    """
+    present = [c for c in spec.categorical if c in df.columns]
+    measures = [F.count("*").alias("n"), *category_sets(df, spec, present)]
+    for i, c in enumerate(spec.numeric):
+        value = not_nan(F.col(c).cast("double"))
+        measures += [F.avg(value).alias(f"m{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
+    row = df.agg(*measures).collect()[0]
+    means = {c: row[f"m{i}"] for i, c in enumerate(spec.numeric)}
     empty = [c for c, m in means.items() if m is None]
     if empty:
         raise ValueError(f"columns without a single value: {', '.join(empty)}")
-    fit = robust_scale_fit if spec.scaler == "robust" else standard_scale_fit
-    scaling = fit(df, {c: F.expr(text) for c, text in _filled(spec, means).items()})
-    categories = one_hot_fit(df, spec)
+    columns = {c: F.expr(text) for c, text in _filled(spec, means).items()}
+    if spec.scaler == "robust":
+        known = {(0, c): (row["n"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(spec.numeric)}
+        scaling = robust_scale_fit(df, columns, known)
+    else:
+        scaling = standard_scale_fit(df, columns)
+    categories = sorted_categories(df, spec, {c: row[f"v{i}"] for i, c in enumerate(present)})
     width = len(spec.numeric) + sum(len(v) for v in categories.values())
     return RiskModel(spec, means, scaling, categories, (Layer(np.zeros((width, 1)), np.zeros(1)),))
 

@@ -41,6 +41,8 @@ CATEGORY_WEIGHTS = {
     "ethnicity": {"Afrocolombian": 0.0235, "Indigenous": 0.0125, "Mestizo/White": -0.0115, "Other": 0.0045},
     "diagnosis_trimester": {"T1": 0.0055, "T2": -0.0075, "T3": 0.0085, "T4": -0.0095},
 }
+LONG_OCCUPATIONS = {f"B{i}": round(0.03 + i * i % 89 * 0.00737 + i * 0.000113, 6) for i in range(90)}
+LONG_CATEGORY_WEIGHTS = {c: LONG_OCCUPATIONS if c == "occupation" else w for c, w in CATEGORY_WEIGHTS.items()}
 INTERCEPT = 0.41
 HIDDEN_UNITS = 3
 
@@ -92,6 +94,11 @@ def individual_model() -> RiskModel:
     return _linear(INDIVIDUAL, NUMERIC, CATEGORY_WEIGHTS, INTERCEPT)
 
 
+def long_list_model() -> RiskModel:
+    """The individual model with many occupations, more than fit a constant map."""
+    return _linear(INDIVIDUAL, NUMERIC, LONG_CATEGORY_WEIGHTS, INTERCEPT)
+
+
 def population_model() -> RiskModel:
     return _linear(POPULATION, POPULATION_NUMERIC, POPULATION_CATEGORY_WEIGHTS, POPULATION_INTERCEPT)
 

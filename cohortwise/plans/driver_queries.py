@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..fixed_values import AGE_EDGES, AGE_LABELS, EDUCATION_LABELS, TARGET_EDGES, UNKNOWN_LABEL
 from ..functions import (
     code_label, combo_label, cut, date_parts, decade_bin, digitize, parse_date, parse_range_mean,
-    period_flag, risk_band, round_to,
+    period_flag, risk_band, round_to, sql_text,
 )
-from ..operators import evaluation, features, importance, population, scoring, splits, training
+from ..operators import evaluation, features, filters, importance, population, scoring, splits, training
 from ..operators.benchmark import benchmark_compare
 from ..operators.cohorts import cohort_summary
 from ..operators.filters import match_profile
-from ..operators.joins import with_geography
+from ..operators.joins import duplicate_municipalities, with_geography
+from ..schemas import PATIENTS as PATIENTS_SCHEMA
+from ..sources.readers import apply_schema, require_columns, with_defaults
 from . import driver_model as M, driver_sql as S, reports
+from .fit_report import fit_and_report
 from .driver_views import AS_OF, municipalities, patients
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +133,10 @@ def _scores_by(name: str, key: str, scope: str, network: bool = False):
         return cohort_summary(_rows(spark, sf_dir), key, model, impute_scope=scope)
 
 
+_summary(
+    "cohort_by_municipality_year_large", reports.summary_by_place_and_year,
+    S.cohort_sql(["municipality", "diagnosis_year"], min_rows=80), level="municipality", min_rows=80,
+)
 _scores_by("linear_score_by_department", "department", "cohort")
 _scores_by("linear_score_by_municipality", "municipality", "cohort")
 _scores_by("linear_score_by_department_training", "department", "training")
@@ -207,6 +214,18 @@ _top_factors("top_factors_by_department", reports.summary_by_department, "depart
 _top_factors("top_factors_by_municipality", reports.summary_by_municipality, "municipality")
 
 
+_LONG = "concat('B', CAST(patient_id % 97 AS VARCHAR(5)))"
+
+
+@query("top_factors_of_long_lists", S.factors_sql(
+    "department", 40, categories=M.LONG_CATEGORY_WEIGHTS, replaced=f"{_LONG} AS occupation"
+))
+def top_factors_of_long_lists(spark, sf_dir):
+    people = patients(spark, sf_dir).withColumn("occupation", F.expr(_LONG))
+    found = reports.summary_by_department(people, M.long_list_model(), top=40, as_of=AS_OF)
+    return scoring.explode_factors(found, ["department"]).withColumn("value", round_to(F.col("value"), 4))
+
+
 @query("factors_of_department", S.factors_sql("place", 10, "upper(trim(department)) = 'AFRICA'", "upper(department)"))
 def factors_of_department(spark, sf_dir):
     found = reports.factors_by_place(
@@ -232,7 +251,7 @@ def patient_explained(spark, sf_dir):
 # --- benchmark ------------------------------------------------------------------------------
 
 
-def _benchmark(name: str, by_sex: bool, by_age_group: bool, by_status: bool):
+def _benchmark(name: str, by_sex: bool, by_age_group: bool, by_status: bool, min_rows: int = 10):
     keys, text = [], []
     if by_sex:
         keys.append("sex")
@@ -248,7 +267,7 @@ def _benchmark(name: str, by_sex: bool, by_age_group: bool, by_status: bool):
     group = f"GROUP BY {', '.join(keys)}" if keys else ""
     chosen = "".join(f"{k}, " for k in keys)
     join = f"LEFT JOIN peers USING ({', '.join(keys)})" if keys else "LEFT JOIN peers ON TRUE"
-    enough = "CASE WHEN n_peers >= 10 THEN peer_risk END"
+    enough = f"CASE WHEN n_peers >= {min_rows} THEN peer_risk END"
     sql = S.with_(
         S.BASE, S.scored("prep", None),
         "aged AS (SELECT *, CAST(floor(age / 10) * 10 AS INT) AS decade FROM scored)",
@@ -263,13 +282,14 @@ def _benchmark(name: str, by_sex: bool, by_age_group: bool, by_status: bool):
     def run(spark, sf_dir):
         scored = scoring.score(_rows(spark, sf_dir), M.individual_model())
         people = patients(spark, sf_dir, ["sex", "age", "socioeconomic_status", "risk_score"])
-        return benchmark_compare(scored, people, by_sex, by_age_group, by_status).select(
+        return benchmark_compare(scored, people, by_sex, by_age_group, by_status, min_rows).select(
             "patient_id", "score", "patient_band", "benchmark_group", "benchmark_risk", "benchmark_band",
             "n_peers", "difference",
         )
 
 
 _benchmark("benchmark_compare", True, True, True)
+_benchmark("benchmark_compare_large_groups", True, True, True, 100)
 _benchmark("benchmark_compare_by_age", False, True, False)
 _benchmark("benchmark_compare_with_all", False, False, False)
 
@@ -471,37 +491,128 @@ def one_hot_aligned(spark, sf_dir):
 def one_hot_categories(spark, sf_dir):
     columns = ("municipality", "occupation", "education_level", "marital_status", "ethnicity")
     spec = features.FeatureSpec((), columns, "robust")
-    names = features.one_hot_names(features.one_hot_fit(patients(spark, sf_dir, columns), spec))
-    return spark.createDataFrame([(n,) for n in names], "feature string")
+    values = features.category_values(patients(spark, sf_dir, columns), spec)
+    return values.select(F.concat_ws("_", "column", "value").alias("feature"))
 
 
-@query("augment_noise", S.with_(S.PATIENTS) + (
-    "SELECT CAST(copy AS INT) AS copy, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_close, "
-    "CAST(sum(CASE WHEN copy = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_changed "
-    "FROM patients_v, range(0, 3) t(copy) GROUP BY copy"
-))
+# Of n draws the mean lies within five standard errors and the deviation within a tenth; a third of
+# the rows lie outside one deviation.
+_NOISE = (
+    "CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN copy = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_changed, "
+    "TRUE AS mean_ok, TRUE AS deviation_ok, TRUE AS tails_ok"
+)
+
+
+def _noise_measures(moved, std: float) -> list:
+    n, drawn = F.count("*"), F.any_value(F.col("copy")) > 0
+    outside = F.count_if(F.abs(moved) > std) / n
+    return [
+        n.alias("n"), F.count_if(moved != 0).alias("n_changed"),
+        (F.abs(F.avg(moved)) <= 5 * std / F.sqrt(n)).alias("mean_ok"),
+        (~drawn | (F.abs(F.stddev_pop(moved) / std - 1) < 0.1)).alias("deviation_ok"),
+        (~drawn | outside.between(0.25, 0.39)).alias("tails_ok"),
+    ]
+
+
+@query("augment_noise", S.with_(S.PATIENTS) + f"SELECT CAST(copy AS INT) AS copy, {_NOISE} FROM patients_v, range(0, 3) t(copy) GROUP BY copy")
 def augment_noise(spark, sf_dir):
-    rows = patients(spark, sf_dir, ["patient_id", "age", "bmi"]).withColumn("noisy", F.col("age"))
+    rows = patients(spark, sf_dir, ["patient_id", "age"]).withColumn("noisy", F.col("age"))
     out = features.augment_noise(rows, ["noisy"], std=0.01, factor=2, row_key=["patient_id"])
-    moved = F.abs(F.col("noisy") - F.col("age"))
-    return out.groupBy("copy").agg(
-        F.count("*").alias("n"), F.count_if(moved < 0.1).alias("n_close"), F.count_if(moved > 0).alias("n_changed")
+    return out.groupBy("copy").agg(*_noise_measures(F.col("noisy") - F.col("age"), 0.01))
+
+
+@query("perturb", S.with_(S.PATIENTS) + f"SELECT {_NOISE.replace('copy', '1')} FROM patients_v")
+def perturb(spark, sf_dir):
+    rows = patients(spark, sf_dir, ["patient_id", "age"]).withColumns({"noisy": F.col("age"), "copy": F.lit(1)})
+    out = features.perturb(rows, ["noisy"], std=0.5, row_key=["patient_id"])
+    return out.agg(*_noise_measures(F.col("noisy") - F.col("age"), 0.5))
+
+
+@query("missing_categories", S.with_(S.BASE) + (
+    "SELECT marital, quarter, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN marital = 'Missing' THEN 1 ELSE 0 END) AS BIGINT) AS hot "
+    "FROM (SELECT coalesce(marital_status, 'Missing') AS marital, coalesce(diagnosis_trimester, 'Missing') AS quarter FROM prep) GROUP BY ALL"
+))
+def missing_categories(spark, sf_dir):
+    rows = _rows(spark, sf_dir, ["patient_id", "marital_status", "diagnosis_date"])
+    spec = features.FeatureSpec((), ("marital_status", "diagnosis_trimester"), "standard", missing_category="Missing")
+    hot = features.one_hot_apply(rows, spec, features.one_hot_fit(rows, spec))
+    full = features.fill_missing(hot, ["marital_status", "diagnosis_trimester"], spec.missing_category)
+    return full.groupBy(F.col("marital_status").alias("marital"), F.col("diagnosis_trimester").alias("quarter")).agg(
+        F.count("*").alias("n"), F.sum("marital_status_Missing").cast("bigint").alias("hot")
+    )
+
+
+@query("usable_patients", S.with_(S.BASE) + (
+    "SELECT department, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT marital_status) AS BIGINT) AS statuses FROM prep "
+    f"WHERE diagnosis_date IS NOT NULL AND glucose IS NOT NULL AND {S.alive()} GROUP BY department"
+))
+def usable_patients(spark, sf_dir):
+    rows = filters.has_date(filters.scorable(_rows(spark, sf_dir), [*S.NEEDED, "glucose"]))
+    return rows.groupBy("department").agg(F.count("*").alias("n"), F.count_distinct("marital_status").alias("statuses"))
+
+
+@query("duplicate_places", (
+    "SELECT r_name AS department, n_name AS municipality, CAST(count(*) AS BIGINT) AS n_rows FROM supplier "
+    "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL HAVING count(*) > 1"
+))
+def duplicate_places(spark, sf_dir):
+    """A dimension with a row per supplier: places that have several."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    places = read("supplier").join(read("nation"), F.expr("s_nationkey = n_nationkey")).join(read("region"), F.expr("n_regionkey = r_regionkey"))
+    return duplicate_municipalities(places.select(F.col("r_name").alias("Department"), F.col("n_name").alias("Municipality")))
+
+
+# Patients as a text table would hold them: upper-case names, numbers as text, a column left out.
+_AS_TEXT = {
+    "PATIENT_ID": "CAST(patient_id AS VARCHAR(20))", "AGE": "concat(' ', CAST(age AS VARCHAR(20)))",
+    "BMI": "CASE WHEN patient_id % 7 = 0 THEN 'NA' WHEN patient_id % 7 = 1 THEN 'n/k' ELSE CAST(bmi AS VARCHAR(40)) END",
+    "EDUCATION_LEVEL": "CAST(education_level AS VARCHAR(20))", "RISK_SCORE": "CAST(risk_score AS VARCHAR(40))",
+    "DIAGNOSIS_DATE": "CASE WHEN patient_id % 5 = 0 THEN 'soon' ELSE CAST(CAST(diagnosis_date AS DATE) AS VARCHAR(20)) END",
+}
+
+
+@query("patients_from_text", S.with_(S.PATIENTS) + (
+    "SELECT CAST(patient_id AS BIGINT) AS patient_id, round(age, 4) AS age, CASE WHEN patient_id % 7 > 1 THEN round(bmi, 8) END AS bmi, "
+    "education_level, round(risk_score, 8) AS target_score, "
+    "CASE WHEN patient_id % 5 > 0 THEN CAST(year(diagnosis_date) AS VARCHAR) END AS year, 0.25 AS heart_rate FROM patients_v"
+).replace("0.25 AS heart_rate", "CAST(0.25 AS DOUBLE) AS heart_rate"))
+def patients_from_text(spark, sf_dir):
+    text = patients(spark, sf_dir).select(*[F.expr(e).alias(name) for name, e in _AS_TEXT.items()])
+    rows = apply_schema(text, PATIENTS_SCHEMA)
+    rows = require_columns(with_defaults(rows, {"heart_rate": 0.25, "age": -1.0}), ("age", "heart_rate"))
+    return features.rename_targets(rows).select(
+        F.col("patient_id").cast("bigint").alias("patient_id"), round_to(F.col("age"), 4).alias("age"), round_to(F.col("bmi"), 8).alias("bmi"),
+        "education_level", round_to(F.col("target_score"), 8).alias("target_score"), F.year("diagnosis_date").cast("string").alias("year"), "heart_rate",
     )
 
 
+def _in_order(report: DataFrame) -> DataFrame:
+    """A report, which has a row per cohort, with the position of every row in it."""
+    rows = report.collect()
+    schema = T.StructType([T.StructField("position", T.IntegerType()), *report.schema])
+    return report.sparkSession.createDataFrame([(i + 1, *row) for i, row in enumerate(rows)], schema)
+
+
+def _ordered(name: str, key: str, report, order: str, key_text: str | None = None):
+    sql = S.cohort_sql([key], key_text)
+
+    @query(name, f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position, {key}, n_patients FROM ({sql})")
+    def run(spark, sf_dir):
+        return _in_order(report(patients(spark, sf_dir), M.individual_model(), as_of=AS_OF).select(key, "n_patients"))
+
+
+_ordered("order_of_municipalities", "municipality", reports.summary_by_municipality, "municipality")
+_ordered("order_of_education", "education_level", reports.summary_by_education, "education_level")
+
+
 # --- splits ---------------------------------------------------------------------------------
 
 # A scramble of the key that both engines compute alike.
 _ORDER_TEXT = "(patient_id * 2654435761) % 4294967296"
 
 
-@query("split_stratified", S.with_(
-    S.PATIENTS, f"binned AS (SELECT patient_id, {S.target_bin('risk_score')} AS bin, {_ORDER_TEXT} AS h FROM patients_v)",
-    "sizes AS (SELECT bin, count(*) AS n, ceil(0.2 * sum(count(*)) OVER ()) AS wanted, sum(count(*)) OVER () AS total FROM binned GROUP BY bin)",
-    "shares AS (SELECT *, floor(n * CAST(wanted AS DOUBLE) / total) AS base, n * CAST(wanted AS DOUBLE) / total AS share FROM sizes)",
-    "final AS (SELECT bin, base + CASE WHEN row_number() OVER (ORDER BY share - base DESC, bin) <= wanted - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM shares)",
-) + (
-    "SELECT patient_id, bin AS target_bin, row_number() OVER (PARTITION BY bin ORDER BY h) <= k AS is_test FROM binned JOIN final USING (bin)"
+@query("split_stratified", S.with_(S.PATIENTS, S.parted("patients_v", _ORDER_TEXT)) + (
+    "SELECT patient_id, bin AS target_bin, is_test FROM parted"
 ))
 def split_stratified(spark, sf_dir):
     rows = patients(spark, sf_dir, ["patient_id", "risk_score"])
@@ -563,15 +674,17 @@ def residual_histogram(spark, sf_dir):
     "boxes AS (SELECT range_idx, quantile_cont(e, 0.25) AS q1, quantile_cont(e, 0.5) AS median, quantile_cont(e, 0.75) AS q3 FROM binned GROUP BY range_idx)",
 ) + (
     "SELECT CAST(range_idx AS INT) AS range_idx, CAST(count(*) AS BIGINT) AS n, round(any_value(q1), 4) AS q1, "
+    "round(any_value(lo) + range_idx * any_value(hi - lo) / 5 - CASE WHEN range_idx = 0 THEN 0.001 * any_value(hi - lo) ELSE 0 END, 4) AS low, "
+    "round(any_value(lo) + (range_idx + 1) * any_value(hi - lo) / 5, 4) AS high, "
     "round(any_value(median), 4) AS median, round(any_value(q3), 4) AS q3, round(min(e), 4) AS min_error, round(max(e), 4) AS max_error, "
     "round(min(CASE WHEN e >= q1 - 1.5 * (q3 - q1) THEN e END), 4) AS whisker_low, "
     "round(max(CASE WHEN e <= q3 + 1.5 * (q3 - q1) THEN e END), 4) AS whisker_high, "
     "CAST(sum(CASE WHEN e < q1 - 1.5 * (q3 - q1) OR e > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers "
-    "FROM binned JOIN boxes USING (range_idx) GROUP BY range_idx"
+    "FROM binned JOIN boxes USING (range_idx), ends GROUP BY range_idx"
 ))
 def error_by_range(spark, sf_dir):
-    out = evaluation.error_by_range(_scored(spark, sf_dir)).drop("low", "high")
-    numbers = ("q1", "median", "q3", "min_error", "max_error", "whisker_low", "whisker_high")
+    out = evaluation.error_by_range(_scored(spark, sf_dir))
+    numbers = ("low", "high", "q1", "median", "q3", "min_error", "max_error", "whisker_low", "whisker_high")
     return out.withColumns({c: round_to(F.col(c), 4) for c in numbers})
 
 
@@ -584,6 +697,25 @@ def prediction_points(spark, sf_dir):
     return out.withColumns({c: round_to(F.col(c), 4) for c in ("truth", "prediction", "residual")})
 
 
+@query("prediction_sample", S.with_(S.BASE, S.scored("prep", None)) + (
+    "SELECT TRUE AS share_ok, TRUE AS within_whole, TRUE AS repeatable FROM scored WHERE score IS NOT NULL LIMIT 1"
+))
+def prediction_sample(spark, sf_dir):
+    """A quarter of the points: how many, whether they are points, whether a second draw is equal."""
+    scored = _scored(spark, sf_dir)
+    points = evaluation.prediction_points(scored, row_key=["patient_id"]).select("patient_id", "truth", "prediction")
+    part = evaluation.prediction_points(scored, fraction=0.25, row_key=["patient_id"])
+    again = evaluation.prediction_points(scored.repartition(5, "age"), fraction=0.25, row_key=["patient_id"])
+    counts = lambda df, name: df.agg(F.count("*").alias(name), F.sum("patient_id").alias(f"{name}_sum"))
+    one = counts(points, "whole").crossJoin(counts(part, "part")).crossJoin(counts(again, "again")).crossJoin(
+        counts(part.join(points, ["patient_id", "truth", "prediction"], "left_semi"), "inside"))
+    return one.select(
+        (F.abs(F.col("part") / F.col("whole") - 0.25) < 3 / F.sqrt("whole")).alias("share_ok"),
+        (F.col("inside") == F.col("part")).alias("within_whole"),
+        ((F.col("again") == F.col("part")) & (F.col("again_sum") == F.col("part_sum"))).alias("repeatable"),
+    )
+
+
 # --- importance -----------------------------------------------------------------------------
 # The weights are measured on the patients: per sex (the units), the correlation of a number with
 # the risk, and for a category how far its mean risk lies from the unit's.
@@ -594,28 +726,32 @@ _NUMBERS = ("age", "heart_rate", "total_cholesterol", "glucose", "is_smoker", "d
 
 def marginal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir).withColumn("unit", (F.col("sex") == "M").cast("int"))
+    # Every row adds to its unit (place -1) and to each of its categories, in one aggregate.
     entry = F.struct
-    numbers = rows.groupBy("unit").agg(
-        *[F.corr(F.col(c).cast("double"), "risk_score").alias(c) for c in _NUMBERS]
-    ).select("unit", F.explode(F.array(*[
-        entry(F.lit(i).alias("feature_idx"), F.lit(c).alias("feature"), F.col(c).alias("weight")) for i, c in enumerate(_NUMBERS)
-    ])).alias("e")).select("e.feature_idx", "e.feature", "unit", "e.weight")
-    pairs = F.array(*[
+    pairs = F.array(entry(F.lit(-1).alias("place"), F.lit("").alias("column"), F.lit("").alias("value")), *[
         entry(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
         for i, c in enumerate(_CATEGORIES)
     ])
-    values = (
-        rows.select("unit", "risk_score", F.explode(pairs).alias("p")).where("p.value IS NOT NULL")
-        .groupBy("unit", "p.place", "p.column", "p.value").agg(F.avg("risk_score").alias("mean"))
+    own = F.col("p.place") == -1
+    found = (
+        rows.select("unit", "risk_score", *_NUMBERS, F.explode(pairs).alias("p")).where("p.value IS NOT NULL")
+        .groupBy("unit", "p.place", "p.column", "p.value").agg(
+            F.avg("risk_score").alias("mean"),
+            *[F.corr(F.when(own, F.col(c).cast("double")), F.when(own, F.col("risk_score"))).alias(f"corr_{c}") for c in _NUMBERS])
     )
-    units = rows.groupBy("unit").agg(F.avg("risk_score").alias("unit_mean"))
-    order = Window.orderBy("place", "value")  # over the model's features only
-    hot = values.join(F.broadcast(units), "unit").select(
-        (F.dense_rank().over(order) + len(_NUMBERS) - 1).alias("feature_idx"),
-        F.concat_ws("_", "column", "value").alias("feature"), "unit",
-        (F.col("mean") - F.col("unit_mean")).alias("weight"),
-    )
-    return numbers.unionByName(hot).withColumn("weight", round_to(F.col("weight"), 6))
+    # Windows over the model's features only.
+    order, unit = Window.orderBy("place", "value"), Window.partitionBy("unit")
+    ranked = found.withColumns({
+        "feature_idx": F.dense_rank().over(order) + len(_NUMBERS) - 2,
+        "unit_mean": F.max(F.when(F.col("place") == -1, F.col("mean"))).over(unit),
+    })
+    numbers = F.array(*[
+        entry(F.lit(i).alias("feature_idx"), F.lit(c).alias("feature"), F.col(f"corr_{c}").alias("weight")) for i, c in enumerate(_NUMBERS)
+    ])
+    category = F.array(entry(
+        F.col("feature_idx"), F.concat_ws("_", "column", "value").alias("feature"), (F.col("mean") - F.col("unit_mean")).alias("weight")))
+    weights = ranked.select("unit", F.explode(F.when(F.col("place") == -1, numbers).otherwise(category)).alias("e"))
+    return weights.select("e.feature_idx", "e.feature", "unit", round_to(F.col("e.weight"), 6).alias("weight"))
 
 
 _WEIGHTS_SQL = (
@@ -721,12 +857,8 @@ _by_category("importance_by_category_with_geo", True)
 _FIT_SPEC = features.FeatureSpec(("total_cholesterol", "glucose"), (), "robust")
 
 
-@query("fit_two_features", S.with_(
-    S.PATIENTS, f"binned AS (SELECT *, {S.target_bin('risk_score')} AS bin, {_ORDER_TEXT} AS h FROM patients_v)",
-    "sizes AS (SELECT bin, count(*) AS n, ceil(0.2 * sum(count(*)) OVER ()) AS wanted, sum(count(*)) OVER () AS total FROM binned GROUP BY bin)",
-    "shares AS (SELECT *, floor(n * CAST(wanted AS DOUBLE) / total) AS base, n * CAST(wanted AS DOUBLE) / total AS share FROM sizes)",
-    "final AS (SELECT bin, base + CASE WHEN row_number() OVER (ORDER BY share - base DESC, bin) <= wanted - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM shares)",
-    "parted AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h) <= k AS is_test FROM binned JOIN final USING (bin))",
+_TWO_FEATURES = S.with_(
+    S.PATIENTS, S.parted("patients_v", _ORDER_TEXT),
     "means AS (SELECT avg(total_cholesterol) AS mt, avg(glucose) AS mg FROM parted WHERE NOT is_test)",
     "filled AS (SELECT is_test, risk_score AS y, coalesce(total_cholesterol, mt) AS t, coalesce(glucose, mg) AS g FROM parted, means)",
     "scale AS (SELECT quantile_cont(t, 0.5) AS ct, quantile_cont(t, 0.75) - quantile_cont(t, 0.25) AS st, "
@@ -736,17 +868,25 @@ _FIT_SPEC = features.FeatureSpec(("total_cholesterol", "glucose"), (), "robust")
     "avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x WHERE NOT is_test)",
     "slopes AS (SELECT (bb * ay - ab * by_) / (aa * bb - ab * ab) AS wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS wb, ma, mb, my FROM moments)",
     "line AS (SELECT wa, wb, my - wa * ma - wb * mb AS w0 FROM slopes)",
-    "errors AS (SELECT is_test, y - (w0 + wa * a + wb * b) AS e FROM x, line)",
-) + (
+    "errors AS (SELECT is_test, y, y - (w0 + wa * a + wb * b) AS e FROM x, line)",
+)
+
+
+def _fit_two(spark, sf_dir):
+    rows = patients(spark, sf_dir, ["patient_id", "risk_score", "total_cholesterol", "glucose", "diagnosis_date"])
+    return training.fit_risk_model(
+        rows, spec=_FIT_SPEC, as_of=AS_OF, row_key=["patient_id"], order=F.expr(_ORDER_TEXT), ridge=0.0
+    )
+
+
+@query("fit_two_features", _TWO_FEATURES + (
     "SELECT is_test, CAST(count(*) AS BIGINT) AS n, round(avg(e * e), 6) AS mse, round(avg(abs(e)), 6) AS mae, "
     "round(any_value(wa), 6) AS weight_cholesterol, round(any_value(wb), 6) AS weight_glucose, round(any_value(w0), 6) AS intercept "
     "FROM errors, line GROUP BY is_test"
 ))
 def fit_two_features(spark, sf_dir):
-    rows = patients(spark, sf_dir, ["patient_id", "risk_score", "total_cholesterol", "glucose", "diagnosis_date"])
-    fitted = training.fit_risk_model(
-        rows, spec=_FIT_SPEC, as_of=AS_OF, row_key=["patient_id"], order=F.expr(_ORDER_TEXT), ridge=0.0
-    )
+    fitted = _fit_two(spark, sf_dir)
+    fitted.release()
     layer = fitted.model.layers[0]
     table = [
         (flag, errors["n"], errors["mse"], errors["mae"], float(layer.weights[0, 0]), float(layer.weights[1, 0]), float(layer.bias[0]))
@@ -757,17 +897,80 @@ def fit_two_features(spark, sf_dir):
     return out.withColumns({c: round_to(F.col(c), 6) for c in names})
 
 
-@query("fit_risk_model")
+@query("holdout_metrics", _TWO_FEATURES + (
+    "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(e * e), 6) AS mse, round(avg(abs(e)), 6) AS mae, "
+    "round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM errors WHERE is_test"
+))
+def holdout_metrics(spark, sf_dir):
+    fitted = _fit_two(spark, sf_dir)
+    # One row, read at once so that the staged rows can go.
+    found = training.holdout_metrics(fitted)
+    out = spark.createDataFrame(found.collect(), found.schema)
+    fitted.release()
+    return out.withColumns({c: round_to(F.col(c), 6) for c in ("mse", "mae", "r2")})
+
+
+@query("fit_report_errors", _TWO_FEATURES.rstrip() + (
+    ", held AS (SELECT y, abs(e) AS e FROM errors WHERE is_test), held_ends AS (SELECT min(y) AS lo, max(y) AS hi FROM held), "
+    "held_binned AS (SELECT e, CAST(y > lo + (hi - lo) / 5 AS INT) + CAST(y > lo + 2 * (hi - lo) / 5 AS INT) "
+    "+ CAST(y > lo + 3 * (hi - lo) / 5 AS INT) + CAST(y > lo + 4 * (hi - lo) / 5 AS INT) AS range_idx FROM held, held_ends) "
+    "SELECT CAST(range_idx AS INT) AS range_idx, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(e, 0.5), 6) AS median, "
+    "round(max(e), 6) AS max_error FROM held_binned GROUP BY range_idx"
+))
+def fit_report_errors(spark, sf_dir):
+    rows = patients(spark, sf_dir, ["patient_id", "risk_score", "total_cholesterol", "glucose", "diagnosis_date"])
+    report = fit_and_report(rows, spec=_FIT_SPEC, as_of=AS_OF, row_key=["patient_id"], order=F.expr(_ORDER_TEXT), ridge=0.0)
+    report.fitted.release()
+    return report.errors.select("range_idx", "n", *[round_to(F.col(c), 6).alias(c) for c in ("median", "max_error")])
+
+
+def _solved(spark: SparkSession, fitted: training.Fitted, target: str = "risk_score") -> DataFrame:
+    """Per feature of a ridge fit: the training rows that have it, its training mean, and the
+    gradient of the ridge problem, taken from the raw columns and the rows' scores."""
+    model, weights = fitted.model, fitted.model.layers[0].weights[:, 0]
+    rows = scoring.score(fitted.rows.where(~F.col("is_test")), model).withColumn("_e", F.col("score") - F.col(target))
+    measures = []
+    for c in model.spec.numeric:
+        x = scoring.scaled_sql(model, c, features.filled_sql(c, sql_text.number(model.means[c])))
+        measures.append((f"count({sql_text.name(c)})", f"avg({x} * _e)"))
+    for c in model.spec.categorical:
+        for v in model.categories[c]:
+            test = f"coalesce({features.category_sql(rows, model.spec, c)} = {sql_text.text(v)}, false)"
+            measures.append((f"count_if({test})", f"avg(CASE WHEN {test} THEN _e ELSE 0D END)"))
+    # Spark measures the penalty on the standardised label.
+    sums = rows.agg(F.stddev_samp(target).alias("spread"), *[
+        F.expr(f"{text} AS {kind}{i}") for i, pair in enumerate(measures) for kind, text in zip("ng", pair)
+    ]).collect()[0]
+    table = [
+        (name, sums[f"n{i}"], float(model.means[name]) if name in model.means else None,
+         sums[f"g{i}"] + training.RIDGE / sums["spread"] * float(weights[i]))
+        for i, name in enumerate(model.feature_names)
+    ]
+    fitted.release()
+    out = spark.createDataFrame(table, "feature string, n_active bigint, mean double, gradient double")
+    return out.withColumns({"mean": round_to(F.col("mean"), 4), "gradient": F.abs(round_to(F.col("gradient"), 6))})
+
+
+@query("fit_risk_model", S.with_(
+    S.BASE, f"usable AS (SELECT * FROM prep WHERE {S.alive()})", S.parted("usable", _ORDER_TEXT),
+    "train AS (SELECT * FROM parted WHERE NOT is_test)",
+) + S.fitted_sql(features.INDIVIDUAL.numeric, features.INDIVIDUAL.categorical))
 def fit_risk_model(spark, sf_dir):
-    fitted = training.fit_risk_model(patients(spark, sf_dir), as_of=AS_OF, row_key=["patient_id"])
-    return importance.feature_importance(fitted.model.weights(spark), "sum").withColumns({
-        "feature_count": F.lit(fitted.feature_count), "val_loss": F.lit(fitted.test["mse"]),
-    })
+    return _solved(spark, training.fit_risk_model(
+        patients(spark, sf_dir), as_of=AS_OF, row_key=["patient_id"], order=F.expr(_ORDER_TEXT)
+    ))
+
+
+_GROUP_UNIFORM = (
+    "((CAST(education_level AS INT) * 31 + CAST(socioeconomic_status AS INT) * 17 + length(occupation) * 13 "
+    "+ length(municipality) * 7 + length(ethnicity) * 3 + ascii(rural_area)) % 10) / CAST(10 AS DOUBLE)"
+)
 
 
-@query("fit_population_model")
+@query("fit_population_model", S.with_(
+    S.groups(), f"train AS (SELECT * FROM grouped WHERE risk_score IS NOT NULL AND NOT {_GROUP_UNIFORM} < 0.2)",
+) + S.fitted_sql(features.POPULATION.numeric, features.POPULATION.categorical, "Missing"))
 def fit_population_model(spark, sf_dir):
-    fitted = training.fit_population_model(patients(spark, sf_dir), municipalities(spark, sf_dir))
-    return importance.feature_importance(fitted.model.weights(spark), "mean").withColumns({
-        "loss": F.lit(fitted.train["mse"]), "mae": F.lit(fitted.train["mae"]),
-    })
+    return _solved(spark, training.fit_population_model(
+        patients(spark, sf_dir), municipalities(spark, sf_dir), uniform=F.expr(_GROUP_UNIFORM)
+    ))

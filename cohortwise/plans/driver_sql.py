@@ -172,20 +172,22 @@ def infrastructure_sql() -> str:
     return with_(*parts) + " UNION ALL ".join(selects)
 
 
-def feature_table() -> list[tuple[int, str, str, float]]:
+def feature_table(categories=M.CATEGORY_WEIGHTS) -> list[tuple[int, str, str, float]]:
     """(number, name, activation of a filled row, importance) of every model feature."""
     rows = [
         (i, c, f"(f_{c} - {center}) / {scale}", abs(w)) for i, (c, (_, center, scale, w)) in enumerate(M.NUMERIC.items())
     ]
-    for c, weights in M.CATEGORY_WEIGHTS.items():
+    for c, weights in categories.items():
         for v, w in weights.items():
             rows.append((len(rows), f"{c}_{v}", f"CASE WHEN CAST({c} AS VARCHAR) = '{v}' THEN 1.0 ELSE 0.0 END", abs(w)))
     return rows
 
 
-def factors_sql(key: str, n: int, where: str = "TRUE", key_text: str | None = None) -> str:
-    """Top factors per cohort in long form."""
-    kept = [f for f in feature_table() if not f[1].startswith(("department_", "municipality_"))]
+def factors_sql(
+    key: str, n: int, where: str = "TRUE", key_text: str | None = None, categories=M.CATEGORY_WEIGHTS, replaced: str = "",
+) -> str:
+    """Top factors per cohort in long form; `replaced` gives columns of the view other values."""
+    kept = [f for f in feature_table(categories) if not f[1].startswith(("department_", "municipality_"))]
     means = ", ".join(f"avg(CASE WHEN {alive()} THEN {text} END) AS a{i}" for i, _, text, _ in kept)
     unpivot = " UNION ALL ".join(
         f"SELECT {key}, {i} AS idx, '{name}' AS feature, a{i} * {imp} AS value FROM means WHERE a{i} IS NOT NULL"
@@ -193,7 +195,7 @@ def factors_sql(key: str, n: int, where: str = "TRUE", key_text: str | None = No
     )
     size = "" if key_text else " HAVING count(*) >= 10"
     return (
-        with_(BASE, f"keyed AS (SELECT *{', ' + key_text + ' AS ' + key if key_text else ''} FROM prep WHERE {where})",
+        with_(BASE, f"keyed AS (SELECT *{f' REPLACE ({replaced})' if replaced else ''}{', ' + key_text + ' AS ' + key if key_text else ''} FROM prep WHERE {where})",
               filled("keyed", key), f"means AS (SELECT {key}, {means} FROM filled WHERE {key} IS NOT NULL GROUP BY {key}{size})",
               f"long AS ({unpivot})",
               f"ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY value DESC, idx) AS rank FROM long)")
@@ -259,6 +261,33 @@ def population_scored() -> str:
     )
 
 
+def parted(source: str, order: str, test: str = "0.2") -> str:
+    """CTE `parted`: rows of `source` with `is_test`, an exact share of every target bin."""
+    return (
+        f"binned AS (SELECT *, {target_bin('risk_score')} AS bin, {order} AS h FROM {source}), "
+        f"sizes AS (SELECT bin, count(*) AS n, ceil({test} * sum(count(*)) OVER ()) AS wanted, sum(count(*)) OVER () AS total FROM binned GROUP BY bin), "
+        "shares AS (SELECT *, floor(n * CAST(wanted AS DOUBLE) / total) AS base, n * CAST(wanted AS DOUBLE) / total AS share FROM sizes), "
+        "final AS (SELECT bin, base + CASE WHEN row_number() OVER (ORDER BY share - base DESC, bin) <= wanted - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM shares), "
+        "parted AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h) <= k AS is_test FROM binned JOIN final USING (bin))"
+    )
+
+
+def fitted_sql(numeric: Sequence[str], categories: Sequence[str], missing: str | None = None) -> str:
+    """What a fit over `train` must satisfy, per feature: rows that have it, its mean, and a zero
+    where the gradient of the ridge problem is."""
+    selects = [
+        f"SELECT '{c}' AS feature, CAST(count({c}) AS BIGINT) AS n_active, round(avg(CAST({c} AS DOUBLE)), 4) AS mean, CAST(0.0 AS DOUBLE) AS gradient FROM train"
+        for c in numeric
+    ]
+    for c in categories:
+        text = f"CAST({c} AS VARCHAR)" if missing is None else f"coalesce(CAST({c} AS VARCHAR), '{missing}')"
+        selects.append(
+            f"SELECT '{c}_' || {text} AS feature, CAST(count(*) AS BIGINT) AS n_active, CAST(NULL AS DOUBLE) AS mean, CAST(0.0 AS DOUBLE) AS gradient "
+            f"FROM train WHERE {text} IS NOT NULL GROUP BY 1"
+        )
+    return " UNION ALL ".join(selects)
+
+
 def target_bin(x: str) -> str:
     return "(" + " + ".join(f"CAST({x} >= {e} AS INT)" for e in TARGET_EDGES) + ")"
 

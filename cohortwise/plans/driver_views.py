@@ -64,8 +64,8 @@ MUNICIPALITY_COLUMNS = {
     "average_altitude": "CAST(100 * n_nationkey AS DOUBLE)",
     "average_temperature": "CAST(8 + n_nationkey AS DOUBLE)",
     "annual_precipitation": (
-        "CASE n_nationkey % 5 WHEN 0 THEN '1000-1500' WHEN 1 THEN '1200' WHEN 2 THEN '' "
-        "WHEN 3 THEN 'abc' ELSE NULL END"),
+        "CASE n_nationkey % 11 WHEN 0 THEN '1000-1500' WHEN 1 THEN '1200' WHEN 2 THEN '' WHEN 3 THEN 'abc' WHEN 4 THEN '500' "
+        "WHEN 5 THEN '1000' WHEN 6 THEN '2500' WHEN 7 THEN '1500 - 1900' WHEN 8 THEN '2000-2400' WHEN 9 THEN '300' ELSE NULL END"),
     "estimated_population": "CAST(1000 * (n_nationkey + 1) AS DOUBLE)",
     "literacy_rate": "CASE WHEN n_nationkey = 7 THEN NULL ELSE CAST(80 + n_nationkey % 20 AS DOUBLE) END",
     "poverty_rate": "CAST(40 - n_nationkey AS DOUBLE)",

@@ -49,14 +49,30 @@ def save_model(spark: SparkSession, model: RiskModel, path: str) -> None:
         "categories": (categories, _CATEGORIES),
         "settings": (list(settings.items()), _SETTINGS),
     }
+    # A new folder per save, its settings last: a save that fails midway leaves the model before it
+    # in place, and readers never see tables of two models.
+    old = _versions(spark, path)
+    folder = f"{path}/version-{(old[-1] if old else 0) + 1:06d}"
     for name, (rows, schema) in tables.items():
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete models below `path`."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/version-*/settings/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getParent().getName().removeprefix("version-")) for f in found or [])
 
 
 def load_model(spark: SparkSession, path: str) -> RiskModel:
-    """The model `save_model` wrote."""
+    """The last model `save_model` wrote completely."""
+    saved = _versions(spark, path)
+    if not saved:
+        raise ValueError(f"no complete model below {path}")
+
     def table(name, schema):
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
+        return spark.read.schema(schema).parquet(f"{path}/version-{saved[-1]:06d}/{name}")
 
     settings = {r["name"]: r["value"] for r in table("settings", _SETTINGS).collect()}
     scaler = table("scaler", _SCALER).orderBy("position").collect()

@@ -10,6 +10,9 @@ from cohortwise.operators.scoring import score
 from cohortwise.operators.training import (
     feature_vectors, fit_population_model, fit_preparation, fit_risk_model, holdout_metrics,
 )
+from cohortwise.plans.fit_report import fit_and_report
+from cohortwise.sources import read_importances
+from cohortwise.sources.model_store import load_model, save_model
 from cohortwise.plans.driver_views import AS_OF, municipalities, patients
 
 SF = "/root/testdata/sf0.001"
@@ -101,6 +104,43 @@ def test_population_fit(spark):
     assert score(found.rows, found.model).where("score IS NULL").count() == 0
 
 
+def test_wide_models_say_when_they_do_not_converge(spark):
+    df = to_spark(spark, small_patients(300))
+    exact = fit_risk_model(df, spec=SPEC, as_of=AS_OF, row_key=["id"], ridge=RIDGE)
+    close = fit_risk_model(df, spec=SPEC, as_of=AS_OF, row_key=["id"], ridge=RIDGE, solver="l-bfgs")
+    assert close.model.layers[0].weights == pytest.approx(exact.model.layers[0].weights, abs=1e-4)
+    with pytest.raises(ValueError, match="max_iterations"):
+        fit_risk_model(df, spec=SPEC, as_of=AS_OF, row_key=["id"], ridge=RIDGE, solver="l-bfgs", max_iterations=1)
+
+
+def test_fit_and_report_writes_and_evaluates(spark, tmp_path):
+    df = to_spark(spark, small_patients(400))
+    found = fit_and_report(df, str(tmp_path), spec=SPEC, as_of=AS_OF, row_key=["id"])
+    held = found.fitted.rows.where("is_test").count()
+    assert found.metrics.first().n == found.points.count() == held
+    assert found.errors.agg(F.sum("n")).first()[0] == held
+    assert found.residuals.where("variable = 'residual'").agg(F.sum("n")).first()[0] == held
+    found.fitted.release()
+    assert found.metrics.first().mse == pytest.approx(found.fitted.test["mse"])
+    assert found.errors.count() <= 5
+    again = load_model(spark, f"{tmp_path}/model")
+    assert again.layers[0].weights.tolist() == found.fitted.model.layers[0].weights.tolist()
+    assert read_importances(spark, f"{tmp_path}/importances").count() == found.fitted.feature_count
+
+
+def test_a_save_that_fails_midway_leaves_the_model_before(spark, tmp_path, fitted):
+    path = str(tmp_path / "m")
+    save_model(spark, fitted.model, path)
+    # A second save that got as far as its scaler.
+    spark.createDataFrame([(0, "age", 0.0, 0.0, 1.0)], "position int, column string, mean double, center double, scale double").write.parquet(
+        f"{path}/version-000002/scaler")
+    assert load_model(spark, path).feature_names == fitted.model.feature_names
+    save_model(spark, fitted.model, path)
+    assert load_model(spark, path).means == fitted.model.means
+    with pytest.raises(ValueError, match="no complete model"):
+        load_model(spark, str(tmp_path / "none"))
+
+
 def test_individual_fit_finds_the_signal(spark):
     """The view's body mass index is a linear function of the risk."""
     found = fit_risk_model(patients(spark, SF), as_of=AS_OF, row_key=["patient_id"])
