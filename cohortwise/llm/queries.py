@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontamination, language_id, line_dedup, near_duplicates, packing, quality, repeats, sharding, topk, warc
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,5 +17,3 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontamination.op10_decontamination,
 }
-
-ORACLES: dict[str, str] = {}
