@@ -948,7 +948,7 @@ def _solved(spark: SparkSession, fitted: training.Fitted, target: str = "risk_sc
     ]
     fitted.release()
     out = spark.createDataFrame(table, "feature string, n_active bigint, mean double, gradient double")
-    return out.withColumns({"mean": round_to(F.col("mean"), 4), "gradient": F.abs(round_to(F.col("gradient"), 6))})
+    return out.withColumns({"mean": round_to(F.col("mean"), 4), "gradient": F.abs(round_to(F.col("gradient"), 4))})
 
 
 @query("fit_risk_model", S.with_(
