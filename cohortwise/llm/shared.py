@@ -58,7 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees. Where none is named (tests), one below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
     return folder.rstrip("/")
