@@ -5,8 +5,8 @@ with one key the smallest id stands for the others, so that a key which a third
 leaves each task once. Keys travel packed, a range of hash values per bucket, and every bucket joins
 the representatives of all tasks the same way. The candidates of a key are thus a star of stars: one
 pair per row instead of all pairs. If every pair of a key ends in one component, so do all its rows, and
-no other pair of that key matters; for the keys where this fails `unresolved` gives all pairs that are
-still apart, so no link is lost.
+no other pair of that key matters; `link_all` goes on with the keys where this fails, so no link is
+lost.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Staged
+from .shared import Staged, release
 
 FLUSH = 1 << 21
 BUCKET_KEYS = 1 << 20
@@ -83,22 +83,74 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("ref", "member").alias("a"), F.greatest("ref", "member").alias("b")).where("a < b").distinct()
 
 
-def unresolved(pairs: DataFrame, labels: DataFrame, staged: Staged) -> DataFrame:
-    """Pairs a < b that share a key and lie in different components, for keys with such a pair.
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, component) of all rows of the keys whose rows lie in several components.
 
-    `pairs` has (key, ref, member), `labels` (node, component) for nodes that have a link.
+    `members` is a staged table (key, id), `labels` has (node, component) for nodes with a link.
     """
-    own = lambda name: F.coalesce(F.col(f"{name}.component"), F.col(f"p.{name}_id"))
-    ends = pairs.select("key", F.col("ref").alias("ref_id"), F.col("member").alias("member_id")).alias("p")
-    apart = ends.join(labels.alias("ref"), F.col("p.ref_id") == F.col("ref.node"), "left").join(
-        labels.alias("member"), F.col("p.member_id") == F.col("member.node"), "left").where(own("ref") != own("member"))
-    keys = staged.write(apart.select("key").distinct(), "unresolved")
-    open_ = pairs.join(keys, "key", "left_semi")
-    members = open_.select("key", F.col("ref").alias("id")).union(open_.select("key", F.col("member").alias("id"))).distinct()
-    members = staged.write(
-        members.join(labels, members["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component")), "open")
-    left, right = (members.select("key", F.col("id").alias(n), F.col("component").alias(f"{n}_component")) for n in "ab")
-    return left.join(right, "key").where("a < b and a_component != b_component").select("a", "b").distinct()
+    named = members.join(labels, members["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return named.join(open_.select("key"), "key", "left_semi")
+
+
+def _shared_sizes(elements: DataFrame) -> DataFrame:
+    """(id, size, shared): how many elements a set has, and how many another set has as well."""
+    alone = elements.groupBy("element").agg(F.count("*").alias("sets"), F.min("id").alias("id")).where("sets = 1").groupBy("id").agg(
+        F.count("*").alias("alone"))
+    sizes = elements.groupBy("id").agg(F.count("*").alias("size"))
+    return sizes.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int,
+             staged: Staged) -> tuple[DataFrame, DataFrame]:
+    """All links that decide components, and the components: (a, b) and (node, component).
+
+    `pairs` has (key, ref, member). `confirm` takes pairs (a, b) and returns those that are similar;
+    `elements` takes ids and returns their sets as (id, element) rows.
+
+    First the stars of all keys are confirmed. Where a key's rows stay in several components, the row
+    with the largest share of elements that other rows have too becomes a second centre: of copies
+    that were each changed a little it is the one closest to all others. For keys that are open even
+    then, all pairs between components are confirmed, but for those that cannot be similar: two sets
+    share at most the elements that either shares with anyone, which bounds their similarity. So a
+    group of copies costs a few pairs per row, rows that are too far from everything cost none, and
+    no link is lost.
+    """
+    spark = pairs.sparkSession
+    links = staged.write(confirm(distinct_pairs(pairs)), "links")
+    release(spark)
+    labels = staged.write(components(links, staged), "labels")
+    rows = pairs.select("key", F.col("ref").alias("id")).union(pairs.select("key", F.col("member").alias("id")))
+    rows = staged.write(rows.distinct(), "rows")
+    members = staged.write(_open(rows, labels), "open")
+    release(spark)
+    if members.isEmpty():
+        return links, labels
+    sizes = staged.write(_shared_sizes(elements(members.select("id").distinct())), "sizes")
+    members = staged.write(members.join(sizes, "id"), "sized")
+    centre = members.groupBy("key").agg(F.max(F.struct(
+        (F.col("shared") / F.col("size")).alias("share"), F.col("id"), F.col("component"))).alias("centre"))
+    spokes = members.join(staged.write(centre, "centres"), "key").where("component != centre.component")
+    links = staged.write(links.union(confirm(distinct_pairs(spokes.select(F.col("centre.id").alias("ref"), F.col("id").alias("member"))))), "links")
+    release(spark)
+    labels = staged.write(components(links, staged), "labels")
+    members = staged.write(_open(rows, labels).join(sizes, "id"), "members")
+    smallest = members.groupBy("key").agg(F.min("size").alias("smallest"))
+    able = staged.write(members.join(smallest, "key").where(
+        F.col("shared") * (100 + percent) >= (F.col("size") + F.col("smallest")) * percent).drop("smallest"), "able")
+    # Rows that are close share many keys; each pair is made once, at the smallest key both have.
+    keys = able.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    able = able.join(keys, "id")
+    left, right = (able.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "component", "size", "shared", "keys")]) for n in "ab")
+    bound = F.least("a_shared", "b_shared") * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
+    once = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
+    rest = left.join(right, "key").where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & bound & once)
+    rest = staged.write(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "rest")
+    release(spark)
+    if not rest.isEmpty():
+        links = staged.write(links.union(confirm(rest)).distinct(), "links")
+        labels = staged.write(components(links, staged), "labels")
+    return links, labels
 
 
 # Union-find -----------------------------------------------------------------------------------
@@ -135,22 +187,29 @@ def components(links: DataFrame, staged: Staged) -> DataFrame:
     """(node, component) of every node with a link, the component being its smallest node.
 
     Distributed union-find: every task first reduces its links to a forest; the forests are then
-    merged by alternating two steps until nothing changes. The large step hangs the larger neighbours
-    of every node under its smallest neighbour, the small step does so with the smaller ones. Each
-    round is written to the shared folder. Links have columns a and b.
+    merged by alternating two steps until all trees are stars. The large step hangs the larger
+    neighbours of every node under its smallest neighbour, the small step does so with the smaller
+    ones. Each round is written to the shared folder. Links have columns a and b.
     """
     forest = links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "u long, v long").distinct()
-    edges, state = staged.write(forest, "forest"), None
-    while True:
+    edges = staged.write(forest, "forest")
+    while not _stars_only(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = staged.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = staged.write(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         staged.drop(edges, large)
-        if now == state:
-            return small.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        edges, state = small, now
+        edges = small
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node hangs under one node, which hangs under none: per node, how often it is
+    the lower end and whether it is an upper end. Edges lead from larger to smaller nodes."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("lower"), F.lit(0).alias("upper")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("node").agg(F.sum("lower").alias("lower"), F.max("upper").alias("upper")).where("lower > 1 or lower + upper > 1")
+    return bad.isEmpty()

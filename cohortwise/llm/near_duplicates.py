@@ -13,8 +13,8 @@ similarity of 0.85 the expected distance is 7.5, its deviation 2.5; the chance t
 at all is below 1e-7). Candidates closer than that are confirmed on full sets.
 
 Documents with equal sets are one class before anything is compared, so that copies cost one row each.
-Candidates of a key form stars, see `candidates`; pairs that remain in different components under one
-key are all compared, so no link between different sets is lost. Shingles and classes are told apart by
+Candidates of a key form stars, see `candidates`; where a key's rows stay in different components, all
+pairs that can be similar are compared, so no link between different sets is lost. Shingles and classes are told apart by
 64-bit hashes.
 
 Words are runs of bytes other than ASCII white space, with A-Z lower-cased. Texts of fewer than five
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .candidates import components, distinct_pairs, pairs_by_key, unresolved
+from .candidates import link_all, pairs_by_key
 from .shared import WHITE, Staged, bounded_batches, free_name, mix, pieces, ranges, table, utf8, words
 
 SHINGLE = 5
@@ -172,6 +172,32 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
     return found.dropDuplicates(["class"])
 
 
+class _SetStore:
+    """Sets of the classes asked for so far; those asked for again are not made again."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, staged: Staged):
+        self.docs, self.doc_id, self.text, self.classes, self.staged = docs, doc_id, text, classes, staged
+        self.held: DataFrame | None = None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """A table (class, shingles) that has all of `wanted`, and perhaps more."""
+        wanted = self.classes.join(wanted, "class", "left_semi").select("class", "doc")
+        if self.held is not None:
+            wanted = wanted.join(self.held.select("class"), "class", "left_anti")
+        wanted = self.staged.write(wanted, "wanted")
+        if self.held is None or not wanted.isEmpty():
+            more = _sets(self.docs, self.doc_id, self.text, wanted)
+            self.held = self.staged.write(more if self.held is None else self.held.union(more), "sets")
+        return self.held
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
+        ids = np.repeat(batch.column("class").to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["id", "element"])
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda n: sets.select(F.col("class").alias(n), F.col("shingles").alias(f"set_{n}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar(percent), "a long, b long")
@@ -186,23 +212,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = staged.write(rows.where("class >= 0").groupBy("class").agg(
         F.min("id").alias("doc"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")), "classes")
     pairs = staged.write(pairs_by_key(classes.select("class", "signature"), _keys_of, classes.count() * SYMBOLS), "pairs")
-    close = staged.write(_close_pairs(distinct_pairs(pairs), classes, percent), "close")
-    wanted = lambda p: classes.join(p.select(F.col("a").alias("class")).union(p.select("b")).distinct(), "class", "left_semi").select("class", "doc")
-    sets = staged.write(_sets(docs, doc_id, text, wanted(close)), "sets")
-    links = staged.write(_links(close, sets, percent), "links")
-    labels = staged.write(components(links, staged), "labels")
-    # Keys whose candidates did not all come together: every pair that is still apart.
-    rest = staged.write(_close_pairs(unresolved(pairs, labels, staged).exceptAll(close), classes, percent), "rest")
-    if not rest.isEmpty():
-        more = wanted(rest).join(sets.select("class"), "class", "left_anti")
-        sets = staged.write(sets.union(_sets(docs, doc_id, text, more)), "sets")
-        links = staged.write(links.union(_links(rest, sets, percent)), "links")
-        labels = staged.write(components(links, staged), "labels")
+    sets = _SetStore(docs, doc_id, text, classes, staged)
+
+    def confirm(candidates: DataFrame) -> DataFrame:
+        close = staged.write(_close_pairs(candidates, classes, percent), "close")
+        return _links(close, sets.of(close.select(F.col("a").alias("class")).union(close.select("b")).distinct()), percent)
+
+    def elements(ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("id").alias("class"))
+        return sets.of(ids).join(ids, "class", "left_semi").mapInArrow(_elements, "id long, element long")
+
+    links, labels = link_all(pairs, confirm, elements, percent, staged)
     named = classes.join(labels, classes["class"] == labels["node"], "left").select(
         "class", "doc", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = staged.write(named.join(first, "component").select("class", "component", "component_id"), "named")
-    staged.drop(pairs, close, sets, rest)
+    staged.drop(pairs)
     lone = rows.where("class < 0").select("id", "class", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
     linked = rows.where("class >= 0").join(named, "class").select("id", "class", "n_shingles", "component", "component_id")
     out = lone.union(linked).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
