@@ -8,7 +8,9 @@ two lookups once the prefix sums of a piece of text are known.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -137,6 +139,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, and the C library
+    keeps what numpy's temporary arrays have used."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        release_ = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if release_ is not None:
+            release_(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows of at most `limit` bytes of text, or one longer row."""
     _, at = utf8(batch.column(column))
