@@ -146,3 +146,25 @@ def test_pairs_by_key_flushes_and_buckets(spark, monkeypatch):
     for p in pairs:
         parent.setdefault((p.key, p.ref), set()).add(p.member)
     assert len(pairs) == 100 - 7 and len({p.key for p in pairs}) == 7
+
+
+def far_pairs(rng, percent, tries):
+    """Pairs of texts just at `percent` that share a key although their signatures are further apart
+    than MAX_DISTANCE."""
+    texts = []
+    for _ in range(tries):
+        # Shingles of distinct words: replacing the last m of n words leaves n - 4 - m of n - 4 + m.
+        words = [f"w{rng.randrange(10**9)}" for _ in range(184)]
+        m = 180 * (100 - percent) // (100 + percent)
+        texts += [" ".join(words), " ".join(words[:-m] + [f"x{rng.randrange(10**9)}" for _ in range(m)])]
+    signature = N.signatures(*N.shingle_sets(*utf8(pa.array(texts))))
+    keys = N.index_keys(signature)
+    far = (signature[::2] != signature[1::2]).sum(axis=1) > N.MAX_DISTANCE
+    return [t for r in np.flatnonzero(far & (keys[::2] == keys[1::2]).any(axis=1)) for t in texts[2 * r : 2 * r + 2]]
+
+
+def test_distant_signatures_of_similar_sets_are_linked(make):
+    docs = list(enumerate(far_pairs(random.Random(20), 80, 6000)))
+    assert docs
+    found = rows(N.near_duplicates(make(docs), percent=80)[0])
+    assert found == brute(docs, 80) and sum(r[3] for r in found) == len(docs) // 2

@@ -80,3 +80,12 @@ def test_run_gives_the_rows_of_the_last_stage(spark, steps):
     found = P.run(spark, SF)
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, found.collect())) == sorted(map(key, steps[4]))
+
+
+def test_near_links_from_80_percent(spark, make):
+    words = [f"w{k}" for k in range(104)]
+    # 90 of 110 shingles are shared (0.82), and 88 of 112 (0.79).
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-10] + ["x"] + [f"x{k}" for k in range(9)])),
+            (3, " ".join("v" + w for w in words)), (4, " ".join(["v" + w for w in words[:-12]] + [f"y{k}" for k in range(12)]))]
+    kept = {r.doc_id for r in P.near(spark, make(docs), SF).collect()}
+    assert kept == {d for d, _, _, k in test_near_duplicates.brute(docs, 80) if k} == {1, 3, 4}
