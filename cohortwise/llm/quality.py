@@ -1,7 +1,8 @@
 """Quality classification by co-training of a content view and a metadata view.
 
 Content view: how often each of CONTENT hashed byte trigrams occurs in a whole text. Metadata view: the
-page's other columns (language, source, length), hashed to METADATA indicators; it never sees the text.
+page's other columns (language, source, length): whole values hashed to METADATA indicators, an equal share
+of them for each column; it never sees the text.
 Each view is a ridge regression on the labels. In every round each view scores all documents without a
 label; what it is confident about (calibrated probability of at least CONFIDENT for either class) becomes a
 pseudo-label that the other view, not itself, learns from next, at weight PSEUDO. After the last round
@@ -22,15 +23,17 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Staged, bounded_batches, mix, pieces, table, utf8
+from .shared import Staged, bounded_batches, pieces, table, utf8
 
-CONTENT, METADATA = 256, 96
+CONTENT, METADATA = 256, 1536
 ROUNDS = 2
 CONFIDENT = 0.95
 PSEUDO = 0.3
@@ -62,12 +65,13 @@ def content_features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def metadata_features(values: list[list[str]]) -> np.ndarray:
-    """Hashed indicators of (column, value), rows x columns; each below METADATA."""
-    out = np.empty((len(values[0]), len(values)), np.uint8)
+    """Hashed indicators of (column, value), rows x columns; each below METADATA, each column's in a
+    block of its own."""
+    block = METADATA // len(values)
+    out = np.empty((len(values[0]), len(values)), np.uint16)
     for k, column in enumerate(values):
-        names, inverse = np.unique(np.array(column, dtype=object).astype(str), return_inverse=True)
-        codes = [int.from_bytes(f"{k}={name}".encode()[-8:].rjust(8, b"\0"), "big") for name in names]
-        out[:, k] = (mix(np.array(codes, np.uint64) + np.uint64(k)) % np.uint64(METADATA)).astype(np.uint8)[inverse]
+        place = {v: k * block + int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") % block for v in set(column)}
+        out[:, k] = [place[v] for v in column]
     return out
 
 
@@ -76,17 +80,28 @@ def content_matrix(packed: pa.Array) -> np.ndarray:
     return np.concatenate([raw / 256.0, np.ones((len(raw), 1))], axis=1)
 
 
-def metadata_matrix(packed: pa.Array) -> np.ndarray:
+def metadata_places(packed: pa.Array) -> np.ndarray:
+    """The indicators that are one in each row, the constant last."""
     n = len(packed)
-    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(n, -1)
-    out = np.zeros((n, METADATA + 1))
-    for k in range(raw.shape[1]):
-        out[np.arange(n), raw[:, k]] = 1
-    out[:, METADATA] = 1
-    return out
+    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint16).reshape(n, -1)
+    return np.concatenate([raw.astype(np.int64), np.full((n, 1), METADATA)], axis=1)
+
+
+def content_sums(packed: pa.Array, weight: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+    x = content_matrix(packed)
+    weighted = x * weight[:, None]
+    return [(weighted.T @ x).ravel(), weighted.T @ target]
+
+
+def metadata_sums(packed: pa.Array, weight: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+    at, width = metadata_places(packed), METADATA + 1
+    n = at.shape[1]
+    both = (at[:, :, None] * width + at[:, None, :]).ravel()
+    return [np.bincount(both, np.repeat(weight, n * n), width * width), np.bincount(at.ravel(), np.repeat(weight * target, n), width)]
 
 
-MATRIX = {"content": content_matrix, "metadata": metadata_matrix}
+SUMS = {"content": content_sums, "metadata": metadata_sums}
+SCORE = {"content": lambda packed, w: content_matrix(packed) @ w, "metadata": lambda packed, w: w[metadata_places(packed)].sum(axis=1)}
 WIDTH = {"content": CONTENT + 1, "metadata": METADATA + 1}
 
 
@@ -120,7 +135,8 @@ def features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, metadat
 
 def total(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
     """The sum of `of_batch` over all batches. A task sends one vector; vectors are added in groups of
-    at most FAN, level by level, so that no task holds more and the driver receives one."""
+    at most FAN, level by level, so that no task holds more and the driver receives one. They travel
+    packed, being mostly zeros where values are rare."""
     tasks = rows.rdd.getNumPartitions()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,20 +145,20 @@ def total(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], siz
         out = np.zeros(size)
         for batch in batches:
             out += of_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["part", "sums"])
 
     def join(parts: pa.Table) -> pa.Table:
         out = np.zeros(size)
         for value in parts["sums"].to_pylist():
-            out += np.frombuffer(value)
-        return pa.table([pa.array([parts["part"][0].as_py()], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["part", "sums"])
+            out += np.frombuffer(zlib.decompress(value))
+        return pa.table([pa.array([parts["part"][0].as_py()], pa.int64()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["part", "sums"])
 
     sums = rows.mapInArrow(add, "part long, sums binary")
     while tasks > 1:
         sums = sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInArrow(join, "part long, sums binary")
         tasks = -(-tasks // FAN)
     found = sums.collect()
-    return sum((np.frombuffer(r["sums"]) for r in found), np.zeros(size))
+    return sum((np.frombuffer(zlib.decompress(r["sums"])) for r in found), np.zeros(size))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -184,7 +200,7 @@ class Views:
         self.combined = np.zeros(3)
 
     def scores(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        return {v: MATRIX[v](batch.column(v)) @ w for v, w in self.weights.items()}
+        return {v: SCORE[v](batch.column(v), w) for v, w in self.weights.items()}
 
     def probabilities(self, scores: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return {v: probability(s, self.calibration[v]) for v, s in scores.items()}
@@ -215,9 +231,7 @@ def _fit(rows: DataFrame, views: Views | None) -> Views:
                     target[view][sure], weight[view][sure] = value, PSEUDO
         out = []
         for view in sorted(WIDTH):
-            x = MATRIX[view](batch.column(view))
-            weighted = x * weight[view][:, None]
-            out += [(weighted.T @ x).ravel(), weighted.T @ target[view]]
+            out += SUMS[view](batch.column(view), weight[view], target[view])
         return np.concatenate(out)
 
     found = total(rows, sums, sum(w * w + w for w in widths))

@@ -75,3 +75,15 @@ def test_odd_rows(spark, odd, odd_rows, documents):
     assert {r.score for r in one} == {1.0}
     assert {r.score for r in Q.classify(odd, labels.where("false")).collect()} == {0.5}
     assert Q.classify(odd.where("false"), labels).count() == 0
+
+
+def test_long_values_and_columns_have_indicators_of_their_own(spark, documents):
+    names = ["common_crawl_2023", "news_crawl_2023", *(f"host{k}.example.com" for k in range(400))]
+    found = Q.metadata_features([names, names, names])
+    assert found[0, 0] != found[1, 0] and len(set(found[:, 0].tolist())) > 200
+    columns = [set(c.tolist()) for c in found.T]
+    assert not columns[0] & columns[1] and not columns[1] & columns[2] and not columns[0] & columns[2]
+    docs, labels, truth = corpus(1200)
+    df = spark.createDataFrame([(i, t, l, f"{s}.pages.example.com", 100) for i, t, l, s, _ in docs], documents.schema)
+    scored = rows(Q.classify(df, spark.createDataFrame(labels, "doc_id long, quality int")))
+    assert auc([(scored[i].metadata_score, truth[i]) for i in range(1200) if i % 10]) > 0.85
