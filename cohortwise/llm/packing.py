@@ -73,14 +73,17 @@ class Encoder:
     A byte-level tokenizer splits a text before a space that stands between two other characters, so
     the ids of a text are those of its space-separated segments, each with its space. Segments recur
     and are remembered, up to a bound. Texts with longer runs of white space, where that is not so,
-    are encoded whole; so are all texts if the file has a normalizer or another splitter.
+    are encoded whole; so are all texts if the file has a normalizer or another splitter, and texts that
+    hold the string of an added token. With `added_tokens` the string of a special token is that token, as
+    the tokenizer has it by default; without, it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
         self.splitter, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.by_segment = (
             self.tokenizer.normalizer is None and type(self.splitter).__name__ == "ByteLevel" and not self.splitter.add_prefix_space
@@ -112,7 +115,7 @@ class Encoder:
         return b"".join(self.token(token) for token, _ in self.splitter.pre_tokenize_str(text))
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_segment:
+        if not self.by_segment or any(content in text for content in self.added):
             return self.whole(text)
         first, *rest = text.split(" ")
         try:
@@ -122,25 +125,25 @@ class Encoder:
         return self.segment(first) + after if first else after
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """One per Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added_tokens) not in _encoders:
+        _encoders[path, added_tokens] = Encoder(path, added_tokens)
+    return _encoders[path, added_tokens]
 
 
 def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID,
-        path: str | None = None, with_ids: bool = True) -> DataFrame:
+        path: str | None = None, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, piece_key and,
-    if wanted, the ids. piece_key tells pieces of equal rows apart."""
+    if wanted, the ids. piece_key tells pieces of equal rows apart. `added_tokens`: see Encoder."""
     bounded_batches(docs.sparkSession)
     path, end = path or vocabulary_path(), np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added_tokens)
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for row, value in enumerate(batch.column(1)):
@@ -252,4 +255,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pack(cut(docs, with_ids=False), docs.count())
+    return pack(cut(docs, with_ids=False, added_tokens=True), docs.count())

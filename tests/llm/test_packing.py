@@ -88,3 +88,11 @@ def test_sequences_hold_the_ids(make, tokenizer):
     for i in range(20):
         ids = sum((got[i][s] for s in sorted(got[i])), [])
         assert ids == [*tokenizer.encode("some words here " * (i % 7), add_special_tokens=False).ids, P.END_ID]
+
+
+def test_queries_encode_added_tokens_as_the_tokenizer_does(spark, make, tmp_path):
+    plain = Tokenizer.from_file(P.vocabulary_path())
+    docs = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "no token <|endoftext| > here"), (4, "x<|endoftext|><|endoftext|>y z")]
+    assert plain.encode(docs[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    make(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    check(P.op5_packing(spark, str(tmp_path)), docs, plain, P.WINDOW)

@@ -89,3 +89,8 @@ def test_near_links_from_80_percent(spark, make):
             (3, " ".join("v" + w for w in words)), (4, " ".join(["v" + w for w in words[:-12]] + [f"y{k}" for k in range(12)]))]
     kept = {r.doc_id for r in P.near(spark, make(docs), SF).collect()}
     assert kept == {d for d, _, _, k in test_near_duplicates.brute(docs, 80) if k} == {1, 3, 4}
+
+
+def test_pack_encodes_added_tokens_as_the_tokenizer_does(spark, make):
+    ids = [r.ids for r in P.pack(spark, make([(1, "a <|endoftext|> b")]), SF).collect()]
+    assert ids == [[64, 220, 50256, 275, packing.END_ID]]
