@@ -168,3 +168,14 @@ def test_distant_signatures_of_similar_sets_are_linked(make):
     assert docs
     found = rows(N.near_duplicates(make(docs), percent=80)[0])
     assert found == brute(docs, 80) and sum(r[3] for r in found) == len(docs) // 2
+
+
+def test_op6_links_a_pair_at_its_threshold_with_distant_signatures(spark, make, tmp_path):
+    rng = random.Random(8115)  # the first seed that gives such a pair
+    words = [f"w{rng.randrange(10**9)}" for _ in range(41)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-3] + [f"x{rng.randrange(10**9)}" for _ in range(3)]))]
+    a, b = N.signatures(*N.shingle_sets(*utf8(pa.array([t for _, t in docs]))))
+    assert (a != b).sum() > N.MAX_DISTANCE
+    make(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    found = N.op6_near_duplicates(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == brute(docs) == [(1, 37, 1, True), (2, 37, 1, False)]
