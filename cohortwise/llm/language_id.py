@@ -8,7 +8,7 @@ of the document wins.
 
 The fit takes a sample bounded by two documented parameters: at most about SAMPLE_DOCS documents per
 language, chosen by a hash of doc_id among those that may be learned from, and SAMPLE_BYTES bytes of
-them. Counts of documents per language, which set the share to take, cover all rows. Prediction
+them, a run of each at a hashed offset of its text. Counts of documents per language, which set the share to take, cover all rows. Prediction
 processes whole texts, cut into lanes of LANE bytes that are parsed side by side (a phrase does not go
 past the end of its lane); all documents of a batch and all languages advance together, one byte a
 step, through transition tables.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +95,7 @@ class Parser:
             raw = [CLASS[np.frombuffer(t.encode(), np.uint8)] for t in samples[language]]
             while sum(min(len(r), share) for r in raw) < min(sample_bytes, sum(map(len, raw))):
                 share += max(1, share // 4)
-            texts.append([r[:share] for r in raw])
+            texts.append([r[(at := zlib.crc32(r.tobytes()) % max(1, len(r) - share + 1)) : at + share] for r in raw])
         seen = np.unique(np.concatenate([r for t in texts for r in t] + [np.zeros(0, np.uint8)]))
         self.symbol = np.zeros(256, np.int64)  # 0: met in no sample
         self.symbol[seen] = np.arange(1, len(seen) + 1)
@@ -173,7 +174,7 @@ def held_out(doc_id: str = "doc_id"):
 def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
            docs_per_language: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
     """Texts to learn from, by language: some `docs_per_language` documents with the smallest hashes
-    of their id, of each at most `sample_bytes` characters. The size does not depend on the input's."""
+    of their id, of each at most an eighth of `sample_bytes` characters from a hashed place on. The size does not depend on the input's."""
     usable = docs.where(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -182,7 +183,9 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     share = lambda n: min(1.0, 2 * docs_per_language / n)
     order = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 40))
     limit = F.element_at(F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, int(share(n) * (1 << 40)))]), F.col(lang))
-    rows = usable.where(order < limit).select(F.col(lang).alias("lang"), order.alias("order"), F.substring(text, 1, sample_bytes // 8).alias("text")).collect()
+    size = F.lit(sample_bytes // 8)
+    start = F.pmod(F.xxhash64(F.lit("offset"), F.col(doc_id)), F.greatest(F.length(text) - size + 1, F.lit(1))).cast("int") + 1
+    rows = usable.where(order < limit).select(F.col(lang).alias("lang"), order.alias("order"), F.substring(F.col(text), start, size).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for name, _, value in sorted(set((r["lang"], r["order"], r["text"]) for r in rows)):
         if len(out.setdefault(name, [])) < docs_per_language:
@@ -225,10 +228,23 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     return identify(rows, samples, "__text").drop("__text")
 
 
+def _with_letters(docs: DataFrame, text: str) -> DataFrame:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([t is not None and LETTER.search(t) is not None for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def keep_languages(docs: DataFrame, wanted: list[str] | None = None, **columns) -> DataFrame:
-    """The documents whose language could be told, and is one of `wanted` if given; same columns."""
+    """The documents whose language could be told, and is one of `wanted` if given; same columns. Where
+    no language can be learned and none is wanted, the documents with a letter."""
+    samples, text = sample(docs, **columns), columns.get("text", "text")
+    if not samples and not wanted:
+        return _with_letters(docs, text)
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    found = identify(docs, sample(docs, **columns), columns.get("text", "text"), pred, score)
+    found = identify(docs, samples, text, pred, score)
     found = found.where(F.col(pred) != UNDETERMINED)
     return (found.where(F.col(pred).isin(wanted)) if wanted else found).select(*docs.columns)
 

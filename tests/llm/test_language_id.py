@@ -88,3 +88,16 @@ def test_keep_languages(documents):
     kept = L.keep_languages(documents.withColumn("lang_pred", F.lit(0)))
     assert kept.columns == [*documents.columns, "lang_pred"]
     assert kept.count() == documents.count()
+
+
+def test_banners_and_missing_labels(make):
+    rng = random.Random(40)
+    prose = {"aa": "abcdefgh ", "bb": "stuvwxyz "}
+    docs = [(k, "0123 -- all pages begin with this one banner -- " * 12 + "".join(rng.choice(prose[l]) for _ in range(6000)), l)
+            for k in range(400) for l in [("aa", "bb")[k % 2]]]
+    samples = L.sample(make(docs))
+    learned = "".join(chr(c) for c in range(97, 123) if L.Parser({"aa": samples["aa"]}).symbol[c])
+    assert set("abcdefgh") <= set(learned)
+    plain = make([(900, "abc def abcd hgfe"), (901, "zyx wvu tsz zyxw"), (902, "12 !!"), (903, None)])
+    assert {r.doc_id: r.lang_pred for r in L.identify(plain, samples).collect()} == {900: "aa", 901: "bb", 902: "und", 903: "und"}
+    assert {r.doc_id for r in L.keep_languages(plain.withColumn("lang", F.lit(None).cast("string"))).collect()} == {900, 901}
