@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import WINDOW
 from .near_duplicates import PERCENT, SHINGLE
+from .resampling import BUCKETS, LEAST_WORDS, PERCENT as DRAWN, POLYNOMIAL, SEED
 from .topk import EVERY, K, SCALE
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -60,4 +61,34 @@ NEAR_DUPLICATES = (
     "SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM smallest LEFT JOIN sizes USING (doc_id)"
 ).format(words=_words("text", r"[^\x20\x09-\x0D]+"), k=SHINGLE, percent=PERCENT)
 
-ORACLES = {"op2_warc": WARC, "op4_topk": TOP_K, "op6_near_duplicates": NEAR_DUPLICATES, "op10_decontamination": DECONTAMINATION}
+# The checksum a byte at a time, by the table of what eight shifts make of each byte.
+_CRC_TABLE = (
+    "(SELECT list(list_reduce(list_prepend(n, range(8)), "
+    f"lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, {POLYNOMIAL}) ELSE x >> 1 END) ORDER BY n) AS steps FROM range(256) t(n))"
+)
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen({0})), lambda i: CAST('0x' || substr(hex({0}), CAST(2 * i + 1 AS INT), 2) AS BIGINT))), "
+    "lambda x, b: xor(steps[CAST((xor(x, b) & 255) + 1 AS INT)], x >> 8)), 4294967295)"
+)
+RESAMPLING = (
+    "WITH docs AS (SELECT doc_id, {words} AS w FROM documents), items AS (SELECT {words} AS w FROM benchmark), "
+    "doc_features AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM docs), "
+    "item_features AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM items), "
+    "in_docs AS (SELECT doc_id, f, count(*) AS n FROM doc_features GROUP BY ALL), "
+    "names AS (SELECT f, CAST({crc} % {buckets} AS BIGINT) AS bucket FROM (SELECT DISTINCT f FROM (SELECT f FROM in_docs UNION ALL SELECT f FROM item_features)), {table} AS crc), "
+    "source AS (SELECT bucket, sum(n) AS n FROM in_docs JOIN names USING (f) GROUP BY bucket), "
+    "target AS (SELECT bucket, count(*) AS n FROM item_features JOIN names USING (f) GROUP BY bucket), "
+    "gains AS (SELECT b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM source) + {buckets})::DOUBLE / "
+    "((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM target) + {buckets})::DOUBLE))) AS gain "
+    "FROM (SELECT DISTINCT bucket FROM names) b LEFT JOIN source s USING (bucket) LEFT JOIN target t USING (bucket)), "
+    "sums AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM in_docs JOIN names USING (f) JOIN gains USING (bucket) GROUP BY doc_id), "
+    "scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + "
+    "CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score "
+    "FROM docs LEFT JOIN sums USING (doc_id)), "
+    "ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= {least}) "
+    "SELECT doc_id, n_features, weight, score, CASE WHEN place <= {percent} * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"
+).format(words=_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), crc=_CRC.format("f"), table=_CRC_TABLE, buckets=BUCKETS, least=LEAST_WORDS,
+         percent=DRAWN, seed=SEED)
+
+ORACLES = {"op2_warc": WARC, "op4_topk": TOP_K, "op6_near_duplicates": NEAR_DUPLICATES, "op10_decontamination": DECONTAMINATION,
+           "op11_resampling": RESAMPLING}
