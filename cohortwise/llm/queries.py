@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontamination, language_id, line_dedup, near_duplicates, packing, quality, repeats, resampling, sharding, topk, warc
+from . import conversations, decontamination, language_id, language_model, line_dedup, near_duplicates, packing, quality, repeats, resampling, sharding, topk, warc
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -17,5 +17,6 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_resampling": resampling.op11_resampling,
+    "op12_language_model": language_model.op12_language_model,
     "op13_conversations": conversations.op13_conversations,
 }
