@@ -23,8 +23,9 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """The table, computed once; `release` it when it is no longer read.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The table, computed once; `release` it when it is no longer read. Jobs that read single values of
+    the column `by` read only those rows' files.
 
     With a shared folder it is written there as Parquet and read back: the lineage ends, each later
     job reads only its columns, and a lost executor costs nothing. Without one it is kept on the
@@ -34,7 +35,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder.rstrip('/')}/cohortwise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*[by] if by else []).parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_path = path
     return staged
