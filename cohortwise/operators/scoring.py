@@ -169,6 +169,8 @@ def score(
     require_features(df, model.spec)
     df = df.withColumn("is_scorable", is_scorable(df, model.spec, also_required))
     df, fills = fill_values(df, model.spec.numeric, impute_scope, model.means, keys)
+    if hasattr(model, "score_rows"):  # a model of another kind, such as trees
+        return drop_helpers(model.score_rows(df, fills, output), "mean")
     run = _linear_score if model.is_linear else _network_score
     return drop_helpers(run(df, model, fills, output), "w", "mean")
 

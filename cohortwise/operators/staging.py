@@ -23,6 +23,22 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a run, in the shared one; below the warehouse where none is named, which is
+    refused on a cluster."""
+    folder = shared_folder(spark)
+    if folder is None:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/cohortwise/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The table, computed once; `release` it when it is no longer read. Jobs that read single values of
     the column `by` read only those rows' files.

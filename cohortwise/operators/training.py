@@ -113,12 +113,16 @@ def _fit(rows: DataFrame, staged: DataFrame, spec: FeatureSpec, target: str, fit
     if fit_on not in ("train", "all"):
         raise ValueError(f"unknown fit_on {fit_on!r}")
     train = rows.where(~F.col("is_test"))
-    prepared = fit_preparation(train if fit_on == "train" else rows, spec)
-    layers = trainer(train, prepared, target)
-    model = RiskModel(spec, prepared.means, prepared.scaling, prepared.categories, layers)
-    errors = {
-        row["is_test"]: row for row in _errors(score(rows, model), target)
-    }
+    try:
+        prepared = fit_preparation(train if fit_on == "train" else rows, spec)
+        found = trainer(train, prepared, target)
+        model = RiskModel(spec, prepared.means, prepared.scaling, prepared.categories, found) if isinstance(found, tuple) else found
+        errors = {
+            row["is_test"]: row for row in _errors(score(rows, model), target)
+        }
+    except BaseException:
+        release(staged)
+        raise
     return Fitted(model, rows, len(model.feature_names), errors.get(False, {}), errors.get(True, {}), staged)
 
 
@@ -156,7 +160,7 @@ def fit_risk_model(
 
     Means, scaler and categories come from the training rows only, so the test rows stay unseen
     (`fit_on="all"` uses all rows). `row_key` and `order` are those of `stratified_split`. `trainer` is "linear" or a function
-    (train rows, prepared model, target) -> layers. `solver` is that of the linear one: "normal" is
+    (train rows, prepared model, target) -> layers, or -> a model that has `score_rows`. `solver` is that of the linear one: "normal" is
     exact, takes one scan and up to 4,096 features; "l-bfgs" takes any number and fails if it has
     not converged. The prepared rows are staged once because several jobs read them; `release` the
     result when they are no longer needed.
