@@ -155,11 +155,13 @@ def seat(count: np.ndarray, context: np.ndarray, parent: np.ndarray, tables: np.
 
 # Chunks of documents ------------------------------------------------------------------------------
 
-_CHUNK = "chunk long, ids array<{kind}>, trained array<boolean>, sizes binary, tokens binary, n_words long, words binary, counts binary, n_pairs long, first binary, second binary, seen binary"
+# Two rows per chunk: its documents (kind 0), and its distinct words and pairs (kind 1).
+_CHUNK = "kind int, chunk long, ids array<{kind}>, trained array<boolean>, sizes binary, tokens binary, n_words long, words binary, counts binary, n_pairs long, first binary, second binary, seen binary"
 
 
 def _chunks(id_type: pa.DataType):
-    names = ["chunk", "ids", "trained", "sizes", "tokens", "n_words", "words", "counts", "n_pairs", "first", "second", "seen"]
+    names = ["kind", "chunk", "ids", "trained", "sizes", "tokens", "n_words", "words", "counts", "n_pairs", "first", "second", "seen"]
+    kinds = [pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -179,13 +181,13 @@ def _chunks(id_type: pa.DataType):
             pairs, pair = np.unique(before * len(vocabulary) + token, return_inverse=True)
             seen = np.bincount(pair[train], minlength=len(pairs))
             first, second = pairs // len(vocabulary), pairs % len(vocabulary)
-            row = [
-                [(part << 32) + number], [list(ids)], [list(trained)], [pack(size.astype(np.int64))], [pack(pair.astype(np.int32))], [len(vocabulary)], [pack(vocabulary)],
-                [pack(counts.astype(np.int64))], [len(pairs)], [pack(np.diff(first, prepend=0).astype(np.int32))], [pack(second.astype(np.int32))], [pack(seen.astype(np.int64))]]
-            kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            chunk, n_pairs = (part << 32) + number, len(pairs)
+            texts = [0, chunk, list(ids), list(trained), pack(size.astype(np.int64)), pack(pair.astype(np.int32)), None, None, None, n_pairs, None, None, None]
+            found = [1, chunk, None, None, None, None, len(vocabulary), pack(vocabulary), pack(counts.astype(np.int64)), n_pairs,
+                     pack(np.diff(first, prepend=0).astype(np.int32)), pack(second.astype(np.int32)), pack(seen.astype(np.int64))]
             for x in (held, ids, trained):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([a, b], k) for a, b, k in zip(texts, found, kinds)], names=names)
 
         n = 0
         for batch in batches:
@@ -522,7 +524,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held: Col
     id_type = pa.string() if kind == "string" else pa.int64()
     if kind != "string":
         rows, kind = rows.withColumn("id", F.col("id").cast("long")), "bigint"
-    chunks = staged.write(rows.mapInArrow(_chunks(id_type), _CHUNK.format(kind=kind)), "chunks")
+    texts, chunks = staged.write_parts(rows.mapInArrow(_chunks(id_type), _CHUNK.format(kind=kind)), "chunks", "kind", [0, 1])
     n_words, n_pairs = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).collect()[0]
     roots, buckets = max(1, -(-n_words // ROOT_WORDS)), max(1, -(-n_pairs // BUCKET_PAIRS))
 
@@ -533,26 +535,27 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held: Col
 
     own = chunks.select("chunk", "first", "second", "seen").groupBy("chunk")
     sent = staged.write(own.cogroup(named.groupBy("chunk")).applyInArrow(_sent_pairs(buckets), _SENT), "sent")
-    staged.drop(named)
+    staged.drop(named, chunks)
     pairs = staged.write(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_merged(roots), _PAIRS), "pairs")
     counted = staged.write(sent.where("bucket < 0").select("chunk", F.lit(b"").alias("places"), F.col("second").alias("value")), "counted")
     staged.drop(sent)
     release(spark)
 
     restaurants = pairs.drop("chunks", "places", "pairs")
-    answers = spark.createDataFrame([], _ANSWERS)
+    answers, kept = spark.createDataFrame([], _ANSWERS), []
     for sweep in range(burn_in + samples):
         tables = restaurants.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_swept(sweep, totals, roots), _TABLES)
         found = staged.write(tables.groupBy("root").applyInArrow(_answered(sweep, totals[-1], roots), _ANSWERS), "answers")
         sums = found.agg(F.coalesce(F.sum("all_customers"), F.lit(0)), F.coalesce(F.sum("all_tables"), F.lit(0))).collect()[0]
         totals.append(Totals(known, tokens, *sums))
         answers = answers.union(found)
+        kept.append(found)
     predicted = pairs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
         _predicted(totals, burn_in, samples), "chunk long, places binary, value binary")
     predicted = staged.write(predicted, "predicted")
-    staged.drop(pairs)
+    staged.drop(pairs, *kept)
     release(spark)
-    texts = chunks.select("chunk", "ids", "trained", "sizes", "tokens", "n_pairs").groupBy("chunk")
+    texts = texts.select("chunk", "ids", "trained", "sizes", "tokens", "n_pairs").groupBy("chunk")
     out = texts.cogroup(predicted.union(counted).groupBy("chunk")).applyInArrow(
         _scored(id_type, totals[0]), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -101,19 +101,35 @@ class Staged:
         self.paths.append(f"{self.folder}/{name}-{len(self.paths)}")
         return self.paths[-1]
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
+    def _save(self, df: DataFrame, path: str, *by: str) -> None:
         # The plan ends with this table, so its shuffle files can go at once.
         before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.partitionBy(*by).parquet(path)
         finally:
             self.spark.conf.set(SHUFFLE_CLEANUP, before)
+
+    def _read(self, df: DataFrame, path: str) -> DataFrame:
         staged = self.spark.read.schema(df.schema).parquet(path)
         staged._staged_path = path
         return staged
 
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        self._save(df, path)
+        return self._read(df, path)
+
+    def write_parts(self, df: DataFrame, name: str, by: str, values: list[int]) -> list[DataFrame]:
+        """A table of its own for each of the values of the integer column `by`, from one pass."""
+        path = self.path(name)
+        empty = df.limit(0).coalesce(1)
+        self._save(df, path, by)
+        parts = [f"{path}/{by}={value}" for value in values]
+        for part in parts:  # a value without rows has no folder yet
+            empty.drop(by).write.mode("append").parquet(part)
+        return [self._read(df.drop(by), part) for part in parts]
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             _delete(self.spark, df._staged_path)
