@@ -101,12 +101,13 @@ def _shared_sizes(elements: DataFrame) -> DataFrame:
     return sizes.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int,
-             staged: Staged) -> tuple[DataFrame, DataFrame]:
+def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame] | None, percent: int,
+             staged: Staged, set_sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All links that decide components, and the components: (a, b) and (node, component).
 
     `pairs` has (key, ref, member). `confirm` takes pairs (a, b) and returns those that are similar;
-    `elements` takes ids and returns their sets as (id, element) rows.
+    `elements` takes ids and returns their sets as (id, element) rows. Where nearly every element is in
+    several sets, so that shared elements bound nothing, `set_sizes` (id, size) stands for them.
 
     First the stars of all keys are confirmed. Where a key's rows stay in several components, the row
     with the largest share of elements that other rows have too becomes a second centre: of copies
@@ -126,7 +127,8 @@ def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elemen
     release(spark)
     if members.isEmpty():
         return links, labels
-    sizes = staged.write(_shared_sizes(elements(members.select("id").distinct())), "sizes")
+    sizes = set_sizes.withColumn("shared", F.col("size")) if elements is None else staged.write(
+        _shared_sizes(elements(members.select("id").distinct())), "sizes")
     members = staged.write(members.join(sizes, "id"), "sized")
     centre = members.groupBy("key").agg(F.max(F.struct(
         (F.col("shared") / F.col("size")).alias("share"), F.col("id"), F.col("component"))).alias("centre"))

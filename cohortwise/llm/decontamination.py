@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .fm_index import FMIndex
-from .shared import bounded_batches, free_name, pieces, ranges, table, utf8, words
+from .shared import bounded_batches, forget, free_name, pieces, ranges, table, trim, utf8, words
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -112,6 +112,7 @@ def _block_scan(text: str, found: list[str], broadcast, shard_bytes: int):
     """mapInArrow function: adds one block's spans and items to the columns `found`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         windows = broadcast.value
         for batch in batches:
             for piece in pieces(batch, text, shard_bytes):
@@ -160,18 +161,27 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-         size: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[str]]:
+         size: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS, then=None) -> tuple[DataFrame, list[str]]:
     """The documents with three more columns (whose names are returned): number of words, spans
-    inside benchmark windows (one list per block, not yet merged across blocks), item ids found."""
+    inside benchmark windows (one list per block, not yet merged across blocks), item ids found.
+
+    `then` makes of these names a function over batches and its schema, which follows the search of the last
+    block in the same Python worker."""
     spark = bounded_batches(docs.sparkSession)
     found: list[str] = []
     for name, kind in FOUND:
         found.append(free_name(docs, name))
         docs = docs.withColumn(found[-1], F.lit(None).cast(kind))
+    scans = []
     for block in _blocks(benchmark, item_id, item_text, block_words):
-        held = spark.sparkContext.broadcast(Windows(block, size))
-        docs = docs.mapInArrow(_block_scan(text, found, held, shard_bytes), docs.schema)
-    return docs, found
+        scans.append(_block_scan(text, found, spark.sparkContext.broadcast(Windows(block, size)), shard_bytes))
+    for scan in scans[:-1]:
+        docs = docs.mapInArrow(scan, docs.schema)
+    last, schema = scans[-1], docs.schema
+    if then is not None:
+        finish, schema = then(found)
+        scan, last = last, lambda batches: finish(scan(batches))
+    return docs.mapInArrow(last, schema), found
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -200,24 +210,27 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
     Documents without a hit are returned as they are; one of which no word is left is removed.
     """
     names, kinds = docs.columns, docs.schema
-    docs, found = find(docs, benchmark, text, **options)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep = batch.column(text).to_pylist(), []
-            for r, (spans, n) in enumerate(zip(batch.column(found[1]).to_pylist(), batch.column(found[0]).to_pylist())):
-                spans = merged(spans) if spans else []
-                keep.append(not spans or sum(s[1] - s[0] for s in spans) < n)
-                if spans:
-                    raw, at, kept = texts[r].encode(), 0, []
-                    for _, _, begin, end in spans:
-                        kept.append(raw[at:begin])
-                        at = end
-                    texts[r] = b" ".join([*kept, raw[at:]]).decode()
-            columns = [pa.array(texts, batch.column(text).type) if n == text else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(cut, kinds)
+    def cutter(found: list[str]):
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, keep = batch.column(text).to_pylist(), []
+                for r, (spans, n) in enumerate(zip(batch.column(found[1]).to_pylist(), batch.column(found[0]).to_pylist())):
+                    spans = merged(spans) if spans else []
+                    keep.append(not spans or sum(s[1] - s[0] for s in spans) < n)
+                    if spans:
+                        raw, at, kept = texts[r].encode(), 0, []
+                        for _, _, begin, end in spans:
+                            kept.append(raw[at:begin])
+                            at = end
+                        texts[r] = b" ".join([*kept, raw[at:]]).decode()
+                columns = [pa.array(texts, batch.column(text).type) if n == text else batch.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+            trim()
+
+        return cut, kinds
+
+    return find(docs, benchmark, text, then=cutter, **options)[0]
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import bounded_batches, free_name, pieces, table, utf8
+from .shared import bounded_batches, cached, free_name, pieces, table, utf8
 
 SAMPLE_DOCS = 200
 SAMPLE_BYTES = 48_000
@@ -154,7 +154,7 @@ class Parser:
         return best, np.clip(1 - two[:, 0] / np.maximum(two[:, 1], 1e-12), 0, 1)
 
 
-_parsers: dict[str, Parser] = {}
+_parsers: dict[str, Parser] = cached({})
 
 
 def parser(samples: str) -> Parser:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .candidates import link_all, pairs_by_key
-from .shared import WHITE, Staged, bounded_batches, free_name, mix, pieces, ranges, table, utf8, words
+from .shared import WHITE, Staged, bounded_batches, forget, free_name, mix, pieces, ranges, table, utf8, words
 
 SHINGLE = 5
 PERCENT = 85
@@ -109,6 +109,7 @@ def with_class(docs: DataFrame, text: str, name: str, more: bool = False) -> Dat
     kept = [c for c in docs.columns if not (more and c == text)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in pieces(batch, text):
                 sets, begin = shingle_sets(*utf8(piece.column(text)))

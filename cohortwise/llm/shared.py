@@ -165,6 +165,23 @@ def trim() -> None:
             release_(0)
 
 
+_caches: list[dict] = []
+
+
+def cached(held: dict) -> dict:
+    """A dictionary in which a Python worker keeps something from task to task, until `forget`."""
+    _caches.append(held)
+    return held
+
+
+def forget() -> None:
+    """Drops what earlier stages left in this worker; called by functions that need none of it."""
+    if any(_caches):
+        for held in _caches:
+            held.clear()
+        trim()
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows of at most `limit` bytes of text, or one longer row."""
     _, at = utf8(batch.column(column))
