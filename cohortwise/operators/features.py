@@ -59,6 +59,10 @@ def rename_targets(df: DataFrame) -> DataFrame:
     )
 
 
+# Categories of all columns that a model holds, in its own lists and on the driver.
+MODEL_CATEGORIES = 100_000
+
+
 def prepare_patients(df: DataFrame, as_of=None, date_formats: Sequence[str] = ()) -> DataFrame:
     """Raw patient rows with lower-case names, defaults, parsed types and date parts.
 
@@ -222,36 +226,39 @@ def scale_apply(df: DataFrame, params: Mapping[str, tuple[float, float]]) -> Dat
 # --- E5, E6, E7 -----------------------------------------------------------------------------
 
 
-def category_sets(df: DataFrame, spec: FeatureSpec, columns: Sequence[str]) -> list[Column]:
-    """Aggregates `v0`, `v1`, ...: the distinct values of every column."""
-    return [F.collect_set(category_text(df, spec, c)).alias(f"v{i}") for i, c in enumerate(columns)]
-
-
 def category_values(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """The distinct values of every categorical column, one row (column, value) each.
 
-    Every column is counted by itself in its own group of one aggregate, so a row adds to its values
-    once per column and only distinct values leave an executor.
+    A row gives a pair per column; equal pairs are one before they leave an executor, so a value that most
+    rows have costs nothing, and a column with very many values is spread over all tasks.
     """
-    present = [c for c in spec.categorical if c in df.columns]
-    sets = df.agg(*category_sets(df, spec, present))
-    pairs = [
-        F.expr(f"transform(v{i}, v -> named_struct('column', {sql_text.text(c)}, 'value', v))") for i, c in enumerate(present)
-    ]
-    return sets.select(F.explode(F.concat(*pairs)).alias("pair")).select("pair.*")
+    pairs = [F.struct(F.lit(c).alias("column"), category_text(df, spec, c).alias("value")) for c in spec.categorical if c in df.columns]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column string, value string")
+    return df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*").where(F.col("value").isNotNull()).distinct()
+
+
+def read_categories(df: DataFrame, spec: FeatureSpec, limit: int = MODEL_CATEGORIES) -> dict[str, list[str]]:
+    """The values of every categorical column, sorted. They become the model's own lists, so at most `limit`
+    of them are read; more are an error that tells how many each column has."""
+    values = category_values(df, spec)
+    found = values.limit(limit + 1).collect()
+    if len(found) > limit:
+        counts = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count("*").alias("n")).collect()}
+        listed = ", ".join(f"{c} ({n})" for c, n in sorted(counts.items(), key=lambda p: -p[1]))
+        raise ValueError(f"more categories than a model holds ({limit}): {listed}")
+    lists: dict[str, list[str]] = {}
+    for r in found:
+        lists.setdefault(r["column"], []).append(r["value"])
+    return sorted_categories(df, spec, lists)
 
 
 def one_hot_fit(df: DataFrame, spec: FeatureSpec) -> dict[str, list[str]]:
     """The values of every categorical column, sorted; one pass over the rows, run at once.
 
-    They become the model's own category lists, so as many as there are reach the driver.
     Whole-number columns are sorted by number, so that `10` follows `9`.
     """
-    present = [c for c in spec.categorical if c in df.columns]
-    if not present:
-        return {c: [] for c in spec.categorical}
-    row = df.agg(*category_sets(df, spec, present)).collect()[0]
-    return sorted_categories(df, spec, {c: row[f"v{i}"] for i, c in enumerate(present)})
+    return read_categories(df, spec)
 
 
 def sorted_categories(df: DataFrame, spec: FeatureSpec, found: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:

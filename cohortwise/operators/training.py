@@ -15,9 +15,8 @@ from ..functions import sql_text
 from ..functions.numbers import not_nan
 from .evaluation import regression_metrics
 from .features import (
-    INDIVIDUAL, POPULATION, FeatureSpec, category_sets, category_text, filled_sql, is_scorable,
-    prepare_groups, prepare_patients, require_features, robust_scale_fit, sorted_categories,
-    standard_scale_fit,
+    INDIVIDUAL, POPULATION, FeatureSpec, category_text, filled_sql, is_scorable,
+    prepare_groups, prepare_patients, read_categories, require_features, robust_scale_fit, standard_scale_fit,
 )
 from .model import Layer, RiskModel
 from .population import group_population
@@ -27,6 +26,7 @@ from .staging import release, stage
 
 RIDGE = 1e-3
 MAX_ITERATIONS = 500
+NORMAL_FEATURES = 4096  # the exact solver's own limit
 
 
 @dataclass(frozen=True)
@@ -52,11 +52,10 @@ def _filled(spec: FeatureSpec, means: Mapping[str, float]) -> dict[str, str]:
 def fit_preparation(df: DataFrame, spec: FeatureSpec) -> RiskModel:
     """Means, scaling and categories of the rows, as a model whose weights are all zero.
 
-    Means, extremes and categories come from one aggregate. A filled column keeps the extremes of
-    its values, as their mean lies between them, so the scaler needs no pass to find them.
+    Means and extremes come from one aggregate, categories from another. A filled column keeps the
+    extremes of its values, as their mean lies between them, so the scaler needs no pass to find them.
     """
-    present = [c for c in spec.categorical if c in df.columns]
-    measures = [F.count("*").alias("n"), *category_sets(df, spec, present)]
+    measures = [F.count("*").alias("n")]
     for i, c in enumerate(spec.numeric):
         value = not_nan(F.col(c).cast("double"))
         measures += [F.avg(value).alias(f"m{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
@@ -71,7 +70,7 @@ def fit_preparation(df: DataFrame, spec: FeatureSpec) -> RiskModel:
         scaling = robust_scale_fit(df, columns, known)
     else:
         scaling = standard_scale_fit(df, columns)
-    categories = sorted_categories(df, spec, {c: row[f"v{i}"] for i, c in enumerate(present)})
+    categories = read_categories(df, spec)
     width = len(spec.numeric) + sum(len(v) for v in categories.values())
     return RiskModel(spec, means, scaling, categories, (Layer(np.zeros((width, 1)), np.zeros(1)),))
 
@@ -99,6 +98,8 @@ def feature_vectors(df: DataFrame, model: RiskModel, output: str = "features") -
 
 
 def _fit_linear(train: DataFrame, prepared: RiskModel, target: str, ridge: float, solver: str, max_iterations: int) -> tuple[Layer, ...]:
+    if solver == "normal" and len(prepared.feature_names) > NORMAL_FEATURES:
+        raise ValueError(f"{len(prepared.feature_names)} features are too many for the exact solver ({NORMAL_FEATURES}); use solver='l-bfgs'")
     fitted = LinearRegression(
         featuresCol="features", labelCol="_label", regParam=ridge, elasticNetParam=0.0,
         standardization=False, solver=solver, maxIter=max_iterations, tol=1e-12,

@@ -930,20 +930,19 @@ def _solved(spark: SparkSession, fitted: training.Fitted, target: str = "risk_sc
     model, weights = fitted.model, fitted.model.layers[0].weights[:, 0]
     rows = scoring.score(fitted.rows.where(~F.col("is_test")), model).withColumn("_e", F.col("score") - F.col(target))
     measures = []
-    for c in model.spec.numeric:
+    for i, c in enumerate(model.spec.numeric):
         x = scoring.scaled_sql(model, c, features.filled_sql(c, sql_text.number(model.means[c])))
-        measures.append((f"count({sql_text.name(c)})", f"avg({x} * _e)"))
-    for c in model.spec.categorical:
-        for v in model.categories[c]:
-            test = f"coalesce({features.category_sql(rows, model.spec, c)} = {sql_text.text(v)}, false)"
-            measures.append((f"count_if({test})", f"avg(CASE WHEN {test} THEN _e ELSE 0D END)"))
+        measures += [F.expr(f"count({sql_text.name(c)}) AS n{i}"), F.expr(f"avg({x} * _e) AS g{i}")]
     # Spark measures the penalty on the standardised label.
-    sums = rows.agg(F.stddev_samp(target).alias("spread"), *[
-        F.expr(f"{text} AS {kind}{i}") for i, pair in enumerate(measures) for kind, text in zip("ng", pair)
-    ]).collect()[0]
+    sums = rows.agg(F.count("*").alias("n"), F.stddev_samp(target).alias("spread"), *measures).collect()[0]
+    active = {c: (sums[f"n{i}"], sums[f"g{i}"]) for i, c in enumerate(model.spec.numeric)}
+    # A row adds its error to each of its categories.
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.expr(features.category_sql(rows, model.spec, c)).alias("value")) for c in model.spec.categorical])
+    per_value = rows.select(F.explode(pairs).alias("pair"), "_e").groupBy("pair").agg(F.count("*").alias("n"), F.sum("_e").alias("e"))
+    active |= {f"{r['pair']['column']}_{r['pair']['value']}": (r["n"], r["e"] / sums["n"]) for r in per_value.collect()}
     table = [
-        (name, sums[f"n{i}"], float(model.means[name]) if name in model.means else None,
-         sums[f"g{i}"] + training.RIDGE / sums["spread"] * float(weights[i]))
+        (name, active[name][0], float(model.means[name]) if name in model.means else None,
+         active[name][1] + training.RIDGE / sums["spread"] * float(weights[i]))
         for i, name in enumerate(model.feature_names)
     ]
     fitted.release()

@@ -146,3 +146,21 @@ def test_individual_fit_finds_the_signal(spark):
     found = fit_risk_model(patients(spark, SF), as_of=AS_OF, row_key=["patient_id"])
     assert found.test["mse"] < 1e-3
     assert found.model.by_feature("sum").argmax() == found.model.feature_names.index("bmi")
+
+
+def test_columns_with_very_many_values(spark):
+    from cohortwise.operators import features
+    from cohortwise.operators.training import fit_preparation
+
+    spec = features.FeatureSpec(("x",), ("kind", "name"), "standard")
+    df = spark.range(200_000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("kind"), F.col("id").cast("string").alias("name"))
+    values = features.category_values(df, spec)
+    assert values.groupBy("column").count().orderBy("column").collect() == [("kind", 3), ("name", 200_000)]
+    assert "collect_set" not in values._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match=r"more categories than a model holds \(100000\): name \(200000\), kind \(3\)"):
+        fit_preparation(df, spec)
+    some = df.where("x < 5000")
+    assert len(features.read_categories(some, spec)["name"]) == 5000
+    with pytest.raises(ValueError, match="use solver='l-bfgs'"):
+        training._fit_linear(some, fit_preparation(some, spec), "x", 0.1, "normal", 5)
+    assert features.read_categories(df.limit(0), spec) == {"kind": [], "name": []}
