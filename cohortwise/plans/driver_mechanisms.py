@@ -21,6 +21,7 @@ from ..operators.staging import delete_folder, working_folder
 from ..sources.model_store import load_model, save_model
 from ..sources.rejects import read_csv_with_rejects
 from ..sources.readers import read_municipalities, read_patients
+from ..sources.requests import score_requests
 from ..sources.sinks import read_importances, write_importances
 from ..schemas import PATIENTS
 from ..streaming.cohort_state import CohortState, maintain
@@ -253,6 +254,25 @@ def patients_with_rejects(spark, sf_dir):
         delete_folder(spark, folder)
 
 
+_ASKED = "CASE patient_id % 10 WHEN 0 THEN 'cut' WHEN 1 THEN 'no age' WHEN 2 THEN 'more' WHEN 3 THEN 'text' ELSE 'plain' END"
+
+
+@query("requests_explained", S.with_(S.BASE, f"asked AS (SELECT *, {_ASKED} AS kind FROM prep)") + (
+    "SELECT kind, CASE WHEN kind IN ('cut', 'text') THEN 'broken' WHEN kind = 'no age' THEN 'missing' ELSE 'ok' END AS status, CAST(count(*) AS BIGINT) AS n, "
+    "CAST(sum(CASE WHEN kind = 'more' THEN 1 ELSE 0 END) AS BIGINT) AS n_extra, "
+    f"CAST(sum(CASE WHEN kind IN ('more', 'plain') AND {S.alive()} THEN 1 ELSE 0 END) AS BIGINT) AS n_scored FROM asked GROUP BY kind"
+))
+def requests_explained(spark, sf_dir):
+    rows = patients(spark, sf_dir).withColumn("kind", F.expr(_ASKED))
+    held = F.struct(*[c for c in rows.columns if c not in ("patient_id", "kind", "age")], F.when(F.col("kind") != "no age", F.col("age")).alias("age"))
+    body = F.to_json(held)
+    body = F.when(F.col("kind") == "cut", F.substring(body, 1, 40)).when(F.col("kind") == "more", F.replace(body, F.lit("{"), F.lit('{"colour":"red",'))).when(
+        F.col("kind") == "text", F.replace(body, F.lit('"age":'), F.lit('"age":"x","age":'))).otherwise(body)
+    found = score_requests(rows.select("kind", body.alias("body")), M.individual_model(), keep=["kind"], as_of=AS_OF)
+    return found.groupBy("kind", "status").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.size("extra") > 0, 1).otherwise(0)).alias("n_extra"), F.count("score").alias("n_scored"))
+
+
 @query("cohort_from_csv", S.with_(S.PATIENTS, S.MUNICIPALITIES) + (
     "SELECT department, CAST(count(*) AS BIGINT) AS n, CAST(sum(heart_rate) AS BIGINT) AS heart_rates, CAST(count(diagnosis_date) AS BIGINT) AS n_dates, "
     "round(avg(average_temperature), 4) AS avg_temperature FROM patients_v LEFT JOIN municipalities_v USING (department, municipality) GROUP BY department"
