@@ -115,7 +115,8 @@ def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elemen
     then, all pairs between components are confirmed, but for those that cannot be similar: two sets
     share at most the elements that either shares with anyone, which bounds their similarity. So a
     group of copies costs a few pairs per row, rows that are too far from everything cost none, and
-    no link is lost.
+    no link is lost. Rows that share a key and elements without being similar are still compared pair
+    by pair, a number that grows with the square of their group.
     """
     spark = pairs.sparkSession
     links = staged.write(confirm(distinct_pairs(pairs)), "links")
