@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Staged, release
+from .shared import SKETCHES, Staged, may_be_similar, release
 
 FLUSH = 1 << 21
 BUCKET_KEYS = 1 << 20
@@ -101,25 +101,33 @@ def _shared_sizes(elements: DataFrame) -> DataFrame:
     return sizes.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose set sizes and sketches allow the similarity."""
+    side = lambda n: sketches.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("size", *SKETCHES)])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_similar(percent, "a_", "b_")).select("a", "b")
+
+
 def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame] | None, percent: int,
-             staged: Staged, set_sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+             staged: Staged, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links that decide components, and the components: (a, b) and (node, component).
 
-    `pairs` has (key, ref, member). `confirm` takes pairs (a, b) and returns those that are similar;
-    `elements` takes ids and returns their sets as (id, element) rows. Where nearly every element is in
-    several sets, so that shared elements bound nothing, `set_sizes` (id, size) stands for them.
+    `pairs` has (key, ref, member). `sketches` has (id, size, sketch columns) of all sets; only pairs for
+    which these allow the similarity go to `confirm`, which returns those that are similar.
+    `elements` takes ids and returns their sets as (id, element) rows; None where nearly every element
+    is in several sets, so that shared elements bound nothing.
 
     First the stars of all keys are confirmed. Where a key's rows stay in several components, the row
     with the largest share of elements that other rows have too becomes a second centre: of copies
     that were each changed a little it is the one closest to all others. For keys that are open even
-    then, all pairs between components are confirmed, but for those that cannot be similar: two sets
-    share at most the elements that either shares with anyone, which bounds their similarity. So a
-    group of copies costs a few pairs per row, rows that are too far from everything cost none, and
-    no link is lost. Rows that share a key and elements without being similar are still compared pair
-    by pair, a number that grows with the square of their group.
+    then, all pairs between components are looked at, and confirmed but for those that cannot be similar:
+    two sets share at most the elements that either shares with anyone, and differ in as many as their
+    sketches do, which bounds their similarity. So a group of copies costs a few pairs per row, rows that
+    are too far from everything cost none, and no link is lost. Of rows that share a key without being
+    similar the sketches are still compared pair by pair, inside the join, a number that grows with the
+    square of their group.
     """
     spark = pairs.sparkSession
-    links = staged.write(confirm(distinct_pairs(pairs)), "links")
+    links = staged.write(confirm(_possible(distinct_pairs(pairs), sketches, percent)), "links")
     release(spark)
     labels = staged.write(components(links, staged), "labels")
     rows = pairs.select("key", F.col("ref").alias("id")).union(pairs.select("key", F.col("member").alias("id")))
@@ -128,13 +136,14 @@ def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elemen
     release(spark)
     if members.isEmpty():
         return links, labels
-    sizes = set_sizes.withColumn("shared", F.col("size")) if elements is None else staged.write(
+    sizes = sketches.select("id", "size", F.col("size").alias("shared")) if elements is None else staged.write(
         _shared_sizes(elements(members.select("id").distinct())), "sizes")
     members = staged.write(members.join(sizes, "id"), "sized")
     centre = members.groupBy("key").agg(F.max(F.struct(
         (F.col("shared") / F.col("size")).alias("share"), F.col("id"), F.col("component"))).alias("centre"))
     spokes = members.join(staged.write(centre, "centres"), "key").where("component != centre.component")
-    links = staged.write(links.union(confirm(distinct_pairs(spokes.select(F.col("centre.id").alias("ref"), F.col("id").alias("member"))))), "links")
+    spokes = distinct_pairs(spokes.select(F.col("centre.id").alias("ref"), F.col("id").alias("member")))
+    links = staged.write(links.union(confirm(_possible(spokes, sketches, percent))), "links")
     release(spark)
     labels = staged.write(components(links, staged), "labels")
     members = staged.write(_open(rows, labels).join(sizes, "id"), "members")
@@ -143,11 +152,12 @@ def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elemen
         F.col("shared") * (100 + percent) >= (F.col("size") + F.col("smallest")) * percent).drop("smallest"), "able")
     # Rows that are close share many keys; each pair is made once, at the smallest key both have.
     keys = able.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    able = able.join(keys, "id")
-    left, right = (able.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "component", "size", "shared", "keys")]) for n in "ab")
+    able = able.join(keys, "id").join(sketches.drop("size"), "id")
+    left, right = (able.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "component", "size", "shared", "keys", *SKETCHES)]) for n in "ab")
     bound = F.least("a_shared", "b_shared") * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
     once = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
-    rest = left.join(right, "key").where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & bound & once)
+    rest = left.join(right, "key").where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & bound
+                                         & may_be_similar(percent, "a_", "b_") & once)
     rest = staged.write(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "rest")
     release(spark)
     if not rest.isEmpty():

@@ -9,8 +9,8 @@ Index: signatures are split into CHUNKS chunks of CHUNK symbols. By the pigeonho
 signatures at a distance below CHUNKS * (ERRORS + 1) agree in some chunk but for at most ERRORS
 symbols. Those errors are enumerated: a chunk is filed once for each way of leaving ERRORS of its
 symbols out. All pairs at a distance of at most MAX_DISTANCE = 19 of 50 are thus candidates, and so are
-most pairs beyond it. Every candidate whose set sizes allow the similarity is confirmed on full sets,
-whatever its distance, so all that is missed are pairs that share no key at all: by the binomial model
+most pairs beyond it. Every candidate whose set sizes and parity sketches (see `shared.set_sketches`) allow
+the similarity is confirmed on full sets, whatever its distance, so all that is missed are pairs that share no key at all: by the binomial model
 a chance of 1.5e-8 at a similarity of 0.85 and of 1.6e-6 at 0.8, less above.
 
 Documents with equal sets are one class before anything is compared, so that copies cost one row each.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .candidates import link_all, pairs_by_key
-from .shared import WHITE, Staged, bounded_batches, forget, free_name, mix, pieces, ranges, table, utf8, words
+from .shared import SKETCHES, WHITE, Staged, bounded_batches, forget, free_name, mix, pieces, ranges, set_sketches, table, utf8, words
 
 SHINGLE = 5
 PERCENT = 85
@@ -105,7 +105,7 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def with_class(docs: DataFrame, text: str, name: str, more: bool = False) -> DataFrame:
-    """The documents with their class and, with `more`, n_shingles and signature instead of the text."""
+    """The documents with their class and, with `more`, n_shingles, signature and sketch instead of the text."""
     kept = [c for c in docs.columns if not (more and c == text)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +116,11 @@ def with_class(docs: DataFrame, text: str, name: str, more: bool = False) -> Dat
                 columns = [piece.column(c) for c in kept] + [pa.array(class_ids(sets, begin))]
                 if more:
                     packed = [s.tobytes() for s in signatures(sets, begin)]
-                    columns += [pa.array(np.diff(begin), pa.int64()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, name, *(["n_shingles", "signature"] if more else [])])
+                    columns += [pa.array(np.diff(begin), pa.int64()), pa.array(packed, pa.binary()), *map(pa.array, set_sketches(sets, begin))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, name, *(["n_shingles", "signature", *SKETCHES] if more else [])])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
-    return docs.mapInArrow(sign, ", ".join([*schema, f"`{name}` long", *(["n_shingles long", "signature binary"] if more else [])]))
+    return docs.mapInArrow(sign, ", ".join([*schema, f"`{name}` long", *(["n_shingles long", "signature binary", *(f"{s} long" for s in SKETCHES)] if more else [])]))
 
 
 def _keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +142,6 @@ def _similar(percent: int):
     return confirm
 
 
-def _sized_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    side = lambda n: classes.select(F.col("class").alias(n), F.col("n_shingles").alias(f"n_{n}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return sized.select("a", "b")
-
-
 def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
     """Full sets of the wanted classes (class, doc_id)."""
 
@@ -206,19 +198,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     staged = Staged(spark, "near-duplicates")
     rows = staged.write(with_class(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", "class", more=True), "signed")
     classes = staged.write(rows.where("class >= 0").groupBy("class").agg(
-        F.min("id").alias("doc"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")), "classes")
+        F.min("id").alias("doc"), *(F.max(c).alias(c) for c in ("n_shingles", "signature", *SKETCHES))), "classes")
+    sketches = classes.select(F.col("class").alias("id"), F.col("n_shingles").alias("size"), *SKETCHES)
     pairs = staged.write(pairs_by_key(classes.select("class", "signature"), _keys_of, classes.count() * SYMBOLS), "pairs")
     sets = _SetStore(docs, doc_id, text, classes, staged)
 
     def confirm(candidates: DataFrame) -> DataFrame:
-        sized = staged.write(_sized_pairs(candidates, classes, percent), "sized")
+        sized = staged.write(candidates, "sized")
         return _links(sized, sets.of(sized.select(F.col("a").alias("class")).union(sized.select("b")).distinct()), percent)
 
     def elements(ids: DataFrame) -> DataFrame:
         ids = ids.select(F.col("id").alias("class"))
         return sets.of(ids).join(ids, "class", "left_semi").mapInArrow(_elements, "id long, element long")
 
-    links, labels = link_all(pairs, confirm, elements, percent, staged)
+    links, labels = link_all(pairs, confirm, elements, percent, staged, sketches)
     named = classes.join(labels, classes["class"] == labels["node"], "left").select(
         "class", "doc", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -24,6 +24,10 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Rows and bytes of one Arrow batch: bounds a Python worker's memory.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
+# Sketches of sets: so many columns of 64 bits, and their names.
+SKETCH = 8
+SKETCHES = [f"sketch{k}" for k in range(SKETCH)]
+
 _BASE = 0x9E3779B97F4A7C55 | 1
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -250,6 +254,32 @@ def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray, lower: bool = Tr
     return begin, end, mix(range_hashes(prefix, begin, end) + (end - begin).astype(np.uint64)), row
 
 
+def set_sketches(sets: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """Parity sketches of sets of hashes (distinct within each row), SKETCH columns of 64 bits.
+
+    Each element flips one bit, so two sketches differ in at most as many bits as elements are in one
+    set alone."""
+    rows = len(begin) - 1
+    out = np.zeros((rows, SKETCH), np.int64)
+    bit = (sets & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+    for low in range(0, rows, 1024):
+        high = min(low + 1024, rows)
+        owner = np.repeat(np.arange(high - low), np.diff(begin[low : high + 1]))
+        flips = np.bincount(owner * (64 * SKETCH) + bit[begin[low] : begin[high]], minlength=(high - low) * 64 * SKETCH)
+        out[low:high] = np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(high - low, SKETCH)
+    return list(out.T)
+
+
+def may_be_similar(percent: int, a: str, b: str) -> Column:
+    """Whether the sizes and sketches of two sets, columns with these prefixes, allow the Jaccard similarity.
+
+    At a similarity of t the smaller set has t times the larger one's size at least, and at most
+    (1 - t) / (1 + t) of both sizes together are elements of one set alone. Never false for similar sets."""
+    sizes = F.col(f"{a}size"), F.col(f"{b}size")
+    apart = sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCHES), F.lit(0))
+    return (F.least(*sizes) * 100 >= F.greatest(*sizes) * percent) & (apart * (100 + percent) <= (sizes[0] + sizes[1]) * (100 - percent))
+
+
 def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin[0], begin[0]+1, ... (count[0] of them), then those of begin[1], and so on."""
     total = int(count.sum())
