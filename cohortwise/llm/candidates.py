@@ -2,8 +2,9 @@
 
 Rows that share a key are candidates. The keys of a task are grouped where they are made: of all rows
 with one key the smallest id stands for the others, so that a key which a third of all rows share
-leaves each task once. Keys travel packed, a range of hash values per bucket, and every bucket joins
-the representatives of all tasks the same way. The candidates of a key are thus a star of stars: one
+leaves each task once. Keys travel packed, a range of hash values per bucket and 32 bits within it (keys
+that agree in those only add candidates), and every bucket joins the representatives of all tasks the same
+way. The candidates of a key are thus a star of stars: one
 pair per row instead of all pairs. If every pair of a key ends in one component, so do all its rows, and
 no other pair of that key matters; `link_all` goes on with the keys where this fails, so no link is
 lost.
@@ -42,22 +43,24 @@ def _stars(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, ...]:
 def pairs_by_key(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], n_keys: int) -> DataFrame:
     """(key, ref, member) for all keys that several ids share; `n_keys`, how many keys there are
     about, fixes the number of buckets. `keys_of` gives hashed uint64 keys and int64 ids of a batch."""
-    buckets = max(1, -(-n_keys // BUCKET_KEYS))
+    bits = min(31, max(0, n_keys - 1).bit_length() - BUCKET_KEYS.bit_length() + 1) if n_keys > BUCKET_KEYS else 0
+    buckets = 1 << bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            head_key, head_id, key, ref, member = _stars(*(np.concatenate(c) for c in zip(*held)))
+            keys, ids = (np.concatenate(c) for c in zip(*held))
             held.clear()
+            head_key, head_id, key, ref, member = _stars(keys >> np.uint64(32 - bits), ids)
             # Keys are sorted, and a bucket is a range of keys.
-            edges = [np.uint64((b << 64) // buckets) for b in range(1, buckets)]
+            edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)
             of_head = [0, *np.searchsorted(head_key, edges).tolist(), len(head_key)]
             of_rest = [0, *np.searchsorted(key, edges).tolist(), len(key)]
             for b in range(buckets):
                 h, r = slice(of_head[b], of_head[b + 1]), slice(of_rest[b], of_rest[b + 1])
                 if h.stop > h.start:
-                    parts = (head_key[h], head_id[h], key[r], ref[r], member[r])
+                    parts = (head_key[h].astype(np.uint32), head_id[h], key[r].astype(np.uint32), ref[r], member[r])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([b], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)],
                         names=["bucket", "head_key", "head_id", "key", "ref", "member"])
@@ -71,9 +74,10 @@ def pairs_by_key(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.n
 
     def receive(parts: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(parts[name].to_pylist()), kind)
-        _, _, key, ref, member = _stars(read("head_key", np.uint64), read("head_id", np.int64))
-        columns = [np.concatenate(c) for c in ((key, read("key", np.uint64)), (ref, read("ref", np.int64)), (member, read("member", np.int64)))]
-        return pa.table([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2])], names=["key", "ref", "member"])
+        _, _, key, ref, member = _stars(read("head_key", np.uint32), read("head_id", np.int64))
+        columns = [np.concatenate(c) for c in ((key, read("key", np.uint32)), (ref, read("ref", np.int64)), (member, read("member", np.int64)))]
+        columns[0] = columns[0].astype(np.int64) + (parts["bucket"][0].as_py() << 32 if len(parts) else 0)
+        return pa.table([pa.array(c) for c in columns], names=["key", "ref", "member"])
 
     return rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(receive, "key long, ref long, member long")
 

@@ -160,25 +160,6 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
     return found.dropDuplicates(["class"])
 
 
-class _SetStore:
-    """Sets of the classes asked for so far; those asked for again are not made again."""
-
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, classes: DataFrame, staged: Staged):
-        self.docs, self.doc_id, self.text, self.classes, self.staged = docs, doc_id, text, classes, staged
-        self.held: DataFrame | None = None
-
-    def of(self, wanted: DataFrame) -> DataFrame:
-        """A table (class, shingles) that has all of `wanted`, and perhaps more."""
-        wanted = self.classes.join(wanted, "class", "left_semi").select("class", "doc")
-        if self.held is not None:
-            wanted = wanted.join(self.held.select("class"), "class", "left_anti")
-        wanted = self.staged.write(wanted, "wanted")
-        if self.held is None or not wanted.isEmpty():
-            more = _sets(self.docs, self.doc_id, self.text, wanted)
-            self.held = self.staged.write(more if self.held is None else self.held.union(more), "sets")
-        return self.held
-
-
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
@@ -201,22 +182,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("id").alias("doc"), *(F.max(c).alias(c) for c in ("n_shingles", "signature", *SKETCHES))), "classes")
     sketches = classes.select(F.col("class").alias("id"), F.col("n_shingles").alias("size"), *SKETCHES)
     pairs = staged.write(pairs_by_key(classes.select("class", "signature"), _keys_of, classes.count() * SYMBOLS), "pairs")
-    sets = _SetStore(docs, doc_id, text, classes, staged)
-
-    def confirm(candidates: DataFrame) -> DataFrame:
-        sized = staged.write(candidates, "sized")
-        return _links(sized, sets.of(sized.select(F.col("a").alias("class")).union(sized.select("b")).distinct()), percent)
+    # The sets of all that share a key; every later step needs some of these.
+    sharing = pairs.select(F.col("ref").alias("class")).union(pairs.select("member")).distinct()
+    sets = staged.write(_sets(docs, doc_id, text, staged.write(classes.join(sharing, "class", "left_semi").select("class", "doc"), "wanted")), "sets")
 
     def elements(ids: DataFrame) -> DataFrame:
-        ids = ids.select(F.col("id").alias("class"))
-        return sets.of(ids).join(ids, "class", "left_semi").mapInArrow(_elements, "id long, element long")
+        return sets.join(ids.select(F.col("id").alias("class")), "class", "left_semi").mapInArrow(_elements, "id long, element long")
 
-    links, labels = link_all(pairs, confirm, elements, percent, staged, sketches)
+    links, labels = link_all(pairs, lambda candidates: _links(candidates, sets, percent), elements, percent, staged, sketches)
     named = classes.join(labels, classes["class"] == labels["node"], "left").select(
         "class", "doc", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = staged.write(named.join(first, "component").select("class", "component", "component_id"), "named")
-    staged.drop(pairs)
+    staged.drop(pairs, sets)
     lone = rows.where("class < 0").select("id", "class", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
     linked = rows.where("class >= 0").join(named, "class").select("id", "class", "n_shingles", "component", "component_id")
     out = lone.union(linked).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
