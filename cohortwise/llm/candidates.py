@@ -120,8 +120,8 @@ def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elemen
     `elements` takes ids and returns their sets as (id, element) rows; None where nearly every element
     is in several sets, so that shared elements bound nothing.
 
-    First the stars of all keys are confirmed. Where a key's rows stay in several components, the row
-    with the largest share of elements that other rows have too becomes a second centre: of copies
+    First the stars of all keys are confirmed. Where a key's rows stay in several components, with
+    `elements` the row with the largest share of elements that other rows have too becomes a second centre: of copies
     that were each changed a little it is the one closest to all others. For keys that are open even
     then, all pairs between components are looked at, and confirmed but for those that cannot be similar:
     two sets share at most the elements that either shares with anyone, and differ in as many as their
@@ -140,29 +140,30 @@ def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elemen
     release(spark)
     if members.isEmpty():
         return links, labels
-    sizes = sketches.select("id", "size", F.col("size").alias("shared")) if elements is None else staged.write(
-        _shared_sizes(elements(members.select("id").distinct())), "sizes")
-    members = staged.write(members.join(sizes, "id"), "sized")
-    centre = members.groupBy("key").agg(F.max(F.struct(
-        (F.col("shared") / F.col("size")).alias("share"), F.col("id"), F.col("component"))).alias("centre"))
-    spokes = members.join(staged.write(centre, "centres"), "key").where("component != centre.component")
-    spokes = distinct_pairs(spokes.select(F.col("centre.id").alias("ref"), F.col("id").alias("member")))
-    links = staged.write(links.union(confirm(_possible(spokes, sketches, percent))), "links")
-    release(spark)
-    labels = staged.write(components(links, staged), "labels")
-    members = staged.write(_open(rows, labels).join(sizes, "id"), "members")
-    smallest = members.groupBy("key").agg(F.min("size").alias("smallest"))
-    able = staged.write(members.join(smallest, "key").where(
-        F.col("shared") * (100 + percent) >= (F.col("size") + F.col("smallest")) * percent).drop("smallest"), "able")
-    # Rows that are close share many keys; each pair is made once, at the smallest key both have.
-    keys = able.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    able = able.join(keys, "id").join(sketches.drop("size"), "id")
-    left, right = (able.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "component", "size", "shared", "keys", *SKETCHES)]) for n in "ab")
-    bound = F.least("a_shared", "b_shared") * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
-    once = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
-    rest = left.join(right, "key").where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & bound
-                                         & may_be_similar(percent, "a_", "b_") & once)
-    rest = staged.write(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "rest")
+    bound = may_be_similar(percent, "a_", "b_")
+    columns = ["id", "component", "size", *SKETCHES]
+    if elements is None:
+        able = members.join(sketches, "id")
+    else:
+        sizes = staged.write(_shared_sizes(elements(members.select("id").distinct())), "sizes")
+        members = staged.write(members.join(sizes, "id"), "sized")
+        centre = members.groupBy("key").agg(F.max(F.struct(
+            (F.col("shared") / F.col("size")).alias("share"), F.col("id"), F.col("component"))).alias("centre"))
+        spokes = members.join(staged.write(centre, "centres"), "key").where("component != centre.component")
+        spokes = distinct_pairs(spokes.select(F.col("centre.id").alias("ref"), F.col("id").alias("member")))
+        links = staged.write(links.union(confirm(_possible(spokes, sketches, percent))), "links")
+        release(spark)
+        labels = staged.write(components(links, staged), "labels")
+        members = staged.write(_open(rows, labels).join(sizes, "id"), "members")
+        smallest = members.groupBy("key").agg(F.min("size").alias("smallest"))
+        able = members.join(smallest, "key").where(
+            F.col("shared") * (100 + percent) >= (F.col("size") + F.col("smallest")) * percent).drop("smallest", "size").join(sketches, "id")
+        bound &= F.least("a_shared", "b_shared") * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
+        columns.append("shared")
+    left, right = (able.select("key", *[F.col(c).alias(f"{n}_{c}") for c in columns]) for n in "ab")
+    rest = left.join(right, "key").where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & bound)
+    # Rows that are close share many keys; what is left is little, and each pair is confirmed once.
+    rest = staged.write(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "rest")
     release(spark)
     if not rest.isEmpty():
         links = staged.write(links.union(confirm(rest)).distinct(), "links")
