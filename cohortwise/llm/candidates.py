@@ -97,36 +97,34 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(open_.select("key"), "key", "left_semi")
 
 
-def _shared_sizes(elements: DataFrame) -> DataFrame:
-    """(id, size, shared): how many elements a set has, and how many another set has as well."""
-    alone = elements.groupBy("element").agg(F.count("*").alias("sets"), F.min("id").alias("id")).where("sets = 1").groupBy("id").agg(
-        F.count("*").alias("alone"))
-    sizes = elements.groupBy("id").agg(F.count("*").alias("size"))
-    return sizes.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
-
-
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose set sizes and sketches allow the similarity."""
     side = lambda n: sketches.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("size", *SKETCHES)])
     return pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_similar(percent, "a_", "b_")).select("a", "b")
 
 
-def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame] | None, percent: int,
+def _centres(members: DataFrame) -> DataFrame:
+    """(key, id, component): of each key's rows but the first, the one that meets most rows over all open keys."""
+    met = members.groupBy("key").agg(F.count("*").alias("met"), F.min("id").alias("first"))
+    members = members.join(met, "key")
+    degree = members.groupBy("id").agg(F.sum("met").alias("degree"))
+    best = members.where("id != first").join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id", "component")).alias("best"))
+    return best.select("key", F.col("best.id").alias("centre"), F.col("best.component").alias("centre_component"))
+
+
+def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], second_centre: bool, percent: int,
              staged: Staged, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links that decide components, and the components: (a, b) and (node, component).
 
     `pairs` has (key, ref, member). `sketches` has (id, size, sketch columns) of all sets; only pairs for
     which these allow the similarity go to `confirm`, which returns those that are similar.
-    `elements` takes ids and returns their sets as (id, element) rows; None where nearly every element
-    is in several sets, so that shared elements bound nothing.
 
     First the stars of all keys are confirmed. Where a key's rows stay in several components, with
-    `elements` the row with the largest share of elements that other rows have too becomes a second centre: of copies
-    that were each changed a little it is the one closest to all others. For keys that are open even
+    `second_centre` the row that meets most others over all open keys becomes a second centre: of copies
+    that were each changed a little it is the one closest to the others. For keys that are open even
     then, all pairs between components are looked at, and confirmed but for those that cannot be similar:
-    two sets share at most the elements that either shares with anyone, and differ in as many as their
-    sketches do, which bounds their similarity. So a group of copies costs a few pairs per row, rows that
-    are too far from everything cost none, and no link is lost. Of rows that share a key without being
+    two sets differ in as many elements as their sketches do in bits, which bounds their similarity. So a
+    group of copies costs a few pairs per row, and no link is lost. Of rows that share a key without being
     similar the sketches are still compared pair by pair, inside the join, a number that grows with the
     square of their group.
     """
@@ -140,34 +138,32 @@ def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], elemen
     release(spark)
     if members.isEmpty():
         return links, labels
-    bound = may_be_similar(percent, "a_", "b_")
-    columns = ["id", "component", "size", *SKETCHES]
-    if elements is None:
-        able = members.join(sketches, "id")
-    else:
-        sizes = staged.write(_shared_sizes(elements(members.select("id").distinct())), "sizes")
-        members = staged.write(members.join(sizes, "id"), "sized")
-        centre = members.groupBy("key").agg(F.max(F.struct(
-            (F.col("shared") / F.col("size")).alias("share"), F.col("id"), F.col("component"))).alias("centre"))
-        spokes = members.join(staged.write(centre, "centres"), "key").where("component != centre.component")
-        spokes = distinct_pairs(spokes.select(F.col("centre.id").alias("ref"), F.col("id").alias("member")))
-        links = staged.write(links.union(confirm(_possible(spokes, sketches, percent))), "links")
+
+    def grown(more: DataFrame) -> DataFrame:
+        """The components with more links: those known are stars already."""
+        stars = labels.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return staged.write(components(stars.union(more), staged), "labels")
+
+    if second_centre:
+        spokes = members.join(_centres(members), "key").where("component != centre_component")
+        spokes = distinct_pairs(spokes.select(F.col("centre").alias("ref"), F.col("id").alias("member")))
+        more = staged.write(confirm(_possible(spokes, sketches, percent)), "links")
         release(spark)
-        labels = staged.write(components(links, staged), "labels")
-        members = staged.write(_open(rows, labels).join(sizes, "id"), "members")
-        smallest = members.groupBy("key").agg(F.min("size").alias("smallest"))
-        able = members.join(smallest, "key").where(
-            F.col("shared") * (100 + percent) >= (F.col("size") + F.col("smallest")) * percent).drop("smallest", "size").join(sketches, "id")
-        bound &= F.least("a_shared", "b_shared") * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
-        columns.append("shared")
+        if not more.isEmpty():
+            links, labels = links.union(more), grown(more)
+            members = staged.write(_open(members.select("key", "id"), labels), "members")
+    able = members.join(sketches, "id")
+    columns = ["id", "component", "size", *SKETCHES]
     left, right = (able.select("key", *[F.col(c).alias(f"{n}_{c}") for c in columns]) for n in "ab")
-    rest = left.join(right, "key").where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & bound)
+    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
     # Rows that are close share many keys; what is left is little, and each pair is confirmed once.
+    rest = left.join(right, "key").where(apart & may_be_similar(percent, "a_", "b_"))
     rest = staged.write(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "rest")
     release(spark)
     if not rest.isEmpty():
-        links = staged.write(links.union(confirm(rest)).distinct(), "links")
-        labels = staged.write(components(links, staged), "labels")
+        more = staged.write(confirm(rest), "links")
+        if not more.isEmpty():
+            links, labels = links.union(more), grown(more)
     return links, labels
 
 
@@ -214,7 +210,7 @@ def components(links: DataFrame, staged: Staged) -> DataFrame:
     while not _stars_only(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = staged.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = staged.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = staged.write(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")

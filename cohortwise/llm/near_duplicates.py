@@ -40,6 +40,7 @@ PERCENT = 85
 CHUNKS, CHUNK, ERRORS, BITS = 10, 5, 1, 16
 SYMBOLS = CHUNKS * CHUNK
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
+BROADCAST_ROWS = 1 << 18  # of 16 bytes
 
 _seeds = np.random.Generator(np.random.PCG64(8191))
 PLACES = _seeds.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,7 +144,8 @@ def _similar(percent: int):
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Full sets of the wanted classes (class, doc_id)."""
+    """Full sets of the wanted classes, a staged table (class, doc). Up to BROADCAST_ROWS of them are sent to
+    every executor, so that the texts stay where they are; beyond that the join shuffles."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,18 +157,12 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
                     names=["class", "shingles"])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     found = rows.join(wanted, rows["id"].eqNullSafe(wanted["doc"])).select("class", "text").mapInArrow(take, "class long, shingles binary")
     # Rows that repeat an id and a text would give a set twice.
     return found.dropDuplicates(["class"])
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
-        ids = np.repeat(batch.column("class").to_numpy(), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["id", "element"])
-
-
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda n: sets.select(F.col("class").alias(n), F.col("shingles").alias(f"set_{n}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar(percent), "a long, b long")
@@ -185,11 +181,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # The sets of all that share a key; every later step needs some of these.
     sharing = pairs.select(F.col("ref").alias("class")).union(pairs.select("member")).distinct()
     sets = staged.write(_sets(docs, doc_id, text, staged.write(classes.join(sharing, "class", "left_semi").select("class", "doc"), "wanted")), "sets")
-
-    def elements(ids: DataFrame) -> DataFrame:
-        return sets.join(ids.select(F.col("id").alias("class")), "class", "left_semi").mapInArrow(_elements, "id long, element long")
-
-    links, labels = link_all(pairs, lambda candidates: _links(candidates, sets, percent), elements, percent, staged, sketches)
+    links, labels = link_all(pairs, lambda candidates: _links(candidates, sets, percent), True, percent, staged, sketches)
     named = classes.join(labels, classes["class"] == labels["node"], "left").select(
         "class", "doc", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_id"))
