@@ -104,10 +104,11 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _centres(members: DataFrame) -> DataFrame:
-    """(key, id, component): of each key's rows but the first, the one that meets most rows over all open keys."""
+    """(key, id, component): of each key's rows but the first, the one in most open keys, of equal ones that which
+    meets most rows there."""
     met = members.groupBy("key").agg(F.count("*").alias("met"), F.min("id").alias("first"))
     members = members.join(met, "key")
-    degree = members.groupBy("id").agg(F.sum("met").alias("degree"))
+    degree = members.groupBy("id").agg(F.struct(F.count("*").alias("keys"), F.sum("met").alias("met")).alias("degree"))
     best = members.where("id != first").join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id", "component")).alias("best"))
     return best.select("key", F.col("best.id").alias("centre"), F.col("best.component").alias("centre_component"))
 
@@ -120,8 +121,8 @@ def link_all(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame], second
     which these allow the similarity go to `confirm`, which returns those that are similar.
 
     First the stars of all keys are confirmed. Where a key's rows stay in several components, with
-    `second_centre` the row that meets most others over all open keys becomes a second centre: of copies
-    that were each changed a little it is the one closest to the others. For keys that are open even
+    `second_centre` the row that is in most open keys becomes a second centre: of copies that were each
+    changed a little it is the one closest to the others. For keys that are open even
     then, all pairs between components are looked at, and confirmed but for those that cannot be similar:
     two sets differ in as many elements as their sketches do in bits, which bounds their similarity. So a
     group of copies costs a few pairs per row, and no link is lost. Of rows that share a key without being
