@@ -12,8 +12,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..fixed_values import AGE_EDGES, AGE_LABELS, EDUCATION_LABELS, TARGET_EDGES, UNKNOWN_LABEL
 from ..functions import round_to
-from ..operators import importance, lattice, network_training, scoring, sketches, temporal, training, trees
+from ..functions.sql_names import register_functions
+from ..functions.sql_text import number, text
+from ..operators import importance, lattice, network_training, samples, scoring, sketches, temporal, training, trees
 from ..operators.cohorts import CohortSums
 from ..operators.features import prepare_patients
 from ..operators.joins import join_counted
@@ -126,6 +129,47 @@ def sketched_percentiles(spark, sf_dir):
     return ranked.select("department", p.alias("p"), "n", ((F.col("below") - error <= p) & (F.col("to") + error >= p)).alias("within"))
 
 
+# --- samples --------------------------------------------------------------------------------------
+
+_SAMPLED = {b: 40 * b for b in range(len(TARGET_EDGES) + 1)}
+
+
+@query("sample_by_target", S.with_(S.PATIENTS) + (
+    "SELECT patient_id, stratum, n_stratum FROM (SELECT patient_id, CAST(bin AS INT) AS stratum, CAST(count(*) OVER (PARTITION BY bin) AS BIGINT) AS n_stratum, "
+    f"row_number() OVER (PARTITION BY bin ORDER BY {_ORDER_TEXT}) AS rank FROM (SELECT *, {S.target_bin('risk_score')} AS bin FROM patients_v) WHERE bin IS NOT NULL) "
+    "WHERE rank <= 40 * stratum"
+))
+def sample_by_target(spark, sf_dir):
+    """A sample of stated size of every target bin, from parts of the patients that are sampled apart and merged."""
+    rows = patients(spark, sf_dir, ["patient_id", "risk_score"])
+    sizes, order = F.col("stratum") * 40, F.expr(_ORDER_TEXT)
+    parts = [samples.stratified_sample(rows.where(F.col("patient_id") % 2 == k), _SAMPLED, order=order) for k in range(2)]
+    whole = samples.merge_samples(parts, ["stratum"], sizes, order, total="n_stratum")
+    return whole.select("patient_id", "stratum", "n_stratum")
+
+
+# --- SQL text -------------------------------------------------------------------------------------
+
+_EDGES = lambda edges: f"array({', '.join(number(e) for e in edges)})"
+_COLUMNS_TEXT = f"""
+SELECT patient_id, CAST(diagnosis_year AS STRING) AS diagnosis_year, CAST(diagnosis_month AS STRING) AS diagnosis_month,
+    diagnosis_trimester, CAST(days_since_diagnosis AS STRING) AS days_since_diagnosis, pandemic_period,
+    CASE WHEN diagnosis_year IN (1996, 1999) THEN 1 ELSE 0 END AS period,
+    cohort_risk_band(risk_score) AS band,
+    cohort_cut(age, {_EDGES(AGE_EDGES)}, array({', '.join(map(text, AGE_LABELS))})) AS age_band,
+    cohort_digitize(risk_score, {_EDGES(TARGET_EDGES)}) AS target_bin,
+    cohort_decade_bin(age) AS decade, cohort_combo_label(is_smoker, diabetes) AS combo,
+    cohort_code_label(education_level, map({', '.join(f'{k}, {text(v)}' for k, v in EDUCATION_LABELS.items())}), {text(UNKNOWN_LABEL)}) AS education
+FROM {{rows}}"""
+
+
+@query("patient_columns_by_sql", ORACLES["patient_columns"])
+def patient_columns_by_sql(spark, sf_dir):
+    """The columns of `patient_columns`, written as SQL text over the library's SQL functions."""
+    register_functions(spark)
+    return spark.sql(_COLUMNS_TEXT, rows=prepare_patients(patients(spark, sf_dir), AS_OF))
+
+
 # --- maintained state -----------------------------------------------------------------------------
 
 
