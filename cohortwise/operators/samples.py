@@ -36,7 +36,9 @@ def _lowest(rows: pa.Table) -> pa.Table:
     seen[first] = np.add.reduceat(column(SEEN).to_numpy()[order], first)
     # A group that wants no row still counts.
     keep = (rank < column(WANTED).to_numpy()[order]) | (rank == 0)
-    return rows.take(pa.array(order[keep])).set_column(rows.schema.get_field_index(SEEN), SEEN, pa.array(seen[keep]))
+    at = rows.schema.get_field_index(SEEN)
+    # The field as it was: Spark's says that it is never null, and tables to be joined later must agree.
+    return rows.take(pa.array(order[keep])).set_column(at, rows.schema.field(at), pa.array(seen[keep]))
 
 
 def _within_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,14 @@ def test_same_sample_on_any_partitioning(spark, rows, parts, monkeypatch):
     assert found(bottom_k(df, ["g"], 50, F.col("o"))) == lowest(rows, lambda g: 50)
 
 
+def test_a_task_that_drops_rows_midway(spark):
+    """More rows in one task than it holds: what it keeps is joined with what comes after."""
+    n = samples.HELD_ROWS * 2 + 7_000
+    df = spark.range(0, n, 1, 1).select("id", (F.col("id") % 3).cast("string").alias("g"), (F.lit(n) - F.col("id")).alias("o"))
+    wanted = lowest([(i, str(i % 3), n - i) for i in range(n)], lambda g: 50)
+    assert found(bottom_k(df, ["g"], 50, F.col("o"))) == wanted
+
+
 def test_hashed_order_does_not_depend_on_partitions(spark, rows):
     df = spark.createDataFrame(rows, "id long, g string, o double")
     one = found(bottom_k(df.coalesce(1), ["g"], 20, row_key=["id"]))
