@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bounded_batches, free_name, table
+from .shared import bounded_batches, forget, free_name, table
 
 WINDOW = 2048
 END_ID = 1
@@ -47,6 +47,9 @@ def in_alphabet(text: str) -> str:
     return text.encode().decode("latin-1").translate(_ALPHABET)
 
 
+SPACE = in_alphabet(" ")
+
+
 class Unsplit(Exception):
     """A segment beside a run of white space."""
 
@@ -61,9 +64,10 @@ class Segments(dict):
     def __missing__(self, segment: str) -> bytes:
         if not segment or segment[0].isspace() or segment[-1].isspace():
             raise Unsplit
+        ids = self.encode(" " + segment)
         if len(self) >= CACHE:
             self.clear()
-        ids = self[segment] = self.encode(" " + segment)
+        self[segment] = ids
         return ids
 
 
@@ -98,20 +102,24 @@ class Encoder:
         """Ids of one token of the splitter, in the splitter's alphabet."""
         ids = self.tokens.get(token)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+            ids = self.merged(token)
             if len(self.tokens) >= CACHE:
                 self.tokens.clear()
             self.tokens[token] = ids
         return ids
 
+    def merged(self, token: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+
     def segment(self, text: str) -> bytes:
         # A space and letters are one token, a closing mark after them another; the splitter, which
-        # costs as much as the merges, is asked about everything else.
+        # costs as much as the merges, is asked about everything else. Words are remembered as segments only.
         if text[0] == " ":
-            if text[1:].isalpha():
-                return self.token(in_alphabet(text))
-            if text[-1] in MARKS and text[1:-1].isalpha():
-                return self.token(in_alphabet(text[:-1])) + self.token(text[-1])
+            word = text[1:]
+            if word.isalpha():
+                return self.merged(SPACE + (word if word.isascii() else in_alphabet(word)))
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return self.segments[word[:-1]] + self.token(word[-1])
         return b"".join(self.token(token) for token, _ in self.splitter.pre_tokenize_str(text))
 
     def __call__(self, text: str) -> bytes:
@@ -143,6 +151,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     path, end = path or vocabulary_path(), np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # of a pipeline's earlier stages
         encode = encoder(path, added_tokens)
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}

@@ -63,6 +63,22 @@ def test_segments_give_the_ids_of_whole_texts(tokenizer):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_remembered_once(tokenizer):
+    encode = P.Encoder(P.vocabulary_path())
+    words = [f"{a}{b}{c}" for a in "abcdé" for b in "xyzß" for c in "mnop"]
+    text = "start " + " ".join(words) + " " + ", ".join(words) + "."
+    assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(words) <= set(encode.segments) and not any(w in t for t in encode.tokens for w in words)
+
+
+def test_a_full_cache_gives_the_same_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "CACHE", 3)
+    encode = P.Encoder(P.vocabulary_path())
+    text = "one two, three. four! 5x six, one two, naïve ﬁn, two?"
+    assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encode.segments) <= 3 and len(encode.tokens) <= 3
+
+
 def test_best_fit_is_the_tightest_window():
     rng = np.random.default_rng(4)
     lengths = sorted(rng.integers(1, 33, 300).tolist(), reverse=True)
