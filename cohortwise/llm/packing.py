@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bounded_batches, forget, free_name, table
+from .shared import bounded_batches, cached, forget, free_name, table
 
 WINDOW = 2048
 END_ID = 1
@@ -133,11 +133,12 @@ class Encoder:
         return self.segment(first) + after if first else after
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = cached({})
 
 
 def encoder(path: str, added_tokens: bool = False) -> Encoder:
-    """One per Python worker."""
+    """One per Python worker, which keeps nothing of a pipeline's earlier stages beside it."""
+    forget(but=_encoders)
     if (path, added_tokens) not in _encoders:
         _encoders[path, added_tokens] = Encoder(path, added_tokens)
     return _encoders[path, added_tokens]
@@ -151,7 +152,6 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     path, end = path or vocabulary_path(), np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()  # of a pipeline's earlier stages
         encode = encoder(path, added_tokens)
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
@@ -232,6 +232,17 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
     return windows, offsets
 
 
+def placed(pieces: pa.Table, base: int, doc_id: str, window: int) -> pa.Table:
+    """The pieces of a group with sequence_id, from `base` on, and offset. The rows stay as they came, in their
+    batches: a sorted copy would hold all ids twice, and leave as one batch."""
+    keys = [("length", "descending"), (doc_id, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+    order = pc.sort_indices(pieces.select([name for name, _ in keys]), sort_keys=keys).to_numpy()
+    windows, offsets = best_fit(pieces["length"].to_numpy()[order].tolist(), window)
+    sequence, offset = np.empty((2, len(order)), np.int64)
+    sequence[order], offset[order] = np.array(windows, np.int64) + base, offsets
+    return pieces.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+
 def pack(pieces: DataFrame, rows: int, doc_id: str = "doc_id", window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most `window` ids; `rows` is how many documents
     they come from, which fixes the number of groups. Other columns go along."""
@@ -240,12 +251,8 @@ def pack(pieces: DataFrame, rows: int, doc_id: str = "doc_id", window: int = WIN
     names = pieces.columns
 
     def fill(pieces_: pa.Table) -> pa.Table:
-        keys = [("length", "descending"), (doc_id, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
-        pieces_ = pieces_.take(pc.sort_indices(pieces_, sort_keys=keys))
-        windows, offsets = best_fit(pieces_["length"].to_pylist(), window)
-        base = pieces_[group][0].as_py() << 40
-        return pieces_.select(names).append_column("sequence_id", pa.array(np.array(windows, np.int64) + base)).append_column(
-            "offset", pa.array(offsets, pa.int64()))
+        forget()  # the encoder too
+        return placed(pieces_.select(names), pieces_[group][0].as_py() << 40, doc_id, window)
 
     dealt = pieces.withColumn(group, F.pmod(F.xxhash64(doc_id, "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)

@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortwise.llm import packing as P
+from cohortwise.llm import packing as P, shared
 
 from .conftest import SF
 
@@ -94,6 +95,28 @@ def test_best_fit_is_the_tightest_window():
             left.append(32 - length)
 
 
+def test_a_group_is_packed_without_a_copy_of_its_ids():
+    rng = np.random.default_rng(7)
+    batches = [pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(rng.integers(0, 50, 40)), "start": pa.array(np.zeros(40, np.int64)), "length": pa.array(rng.integers(1, 65, 40)),
+        "ids_crc32": pa.array(rng.integers(0, 1 << 32, 40)), "ids": pa.array([[k, k + 1] for k in range(40)], pa.list_(pa.int32()))}) for _ in range(5)]
+    group = pa.Table.from_batches(batches)
+    found = P.placed(group, 3 << 40, "doc_id", 64)
+    where = lambda t: [c.values.buffers()[1].address for c in t["ids"].chunks]
+    assert where(found) == where(group) and found.select(group.column_names).equals(group)
+    rows = sorted(found.to_pylist(), key=lambda r: (-r["length"], r["doc_id"], r["start"], r["ids_crc32"]))
+    windows, offsets = P.best_fit([r["length"] for r in rows], 64)
+    assert [(r["sequence_id"], r["offset"]) for r in rows] == [(w + (3 << 40), o) for w, o in zip(windows, offsets)]
+
+
+def test_packing_holds_no_encoder_and_encoding_nothing_of_other_stages():
+    other = shared.cached({"x": 1})
+    encode = P.encoder(P.vocabulary_path())
+    assert not other and P.encoder(P.vocabulary_path()) is encode
+    shared.forget()
+    assert not P._encoders
+
+
 def test_sequences_hold_the_ids(make, tokenizer):
     docs = make([(i, "some words here " * (i % 7)) for i in range(20)])
     rows = P.sequences(P.pack(P.cut(docs, window=16), 20, window=16)).collect()
