@@ -163,6 +163,17 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
     return found.dropDuplicates(["class"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, shingles in enumerate(batch.column("shingles")):
+            found = np.frombuffer(shingles.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column("class")[k].as_py())), pa.array(found)], names=["id", "element"])
+
+
+def _elements_of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    return sets.join(ids, sets["class"] == ids["id"], "left_semi").select("class", "shingles").mapInArrow(_elements, "id long, element long")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda n: sets.select(F.col("class").alias(n), F.col("shingles").alias(f"set_{n}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar(percent), "a long, b long")
@@ -181,7 +192,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # The sets of all that share a key; every later step needs some of these.
     sharing = pairs.select(F.col("ref").alias("class")).union(pairs.select("member")).distinct()
     sets = staged.write(_sets(docs, doc_id, text, staged.write(classes.join(sharing, "class", "left_semi").select("class", "doc"), "wanted")), "sets")
-    links, labels = link_all(pairs, lambda candidates: _links(candidates, sets, percent), True, percent, staged, sketches)
+    links, labels = link_all(pairs, lambda candidates: _links(candidates, sets, percent), True, percent, staged, sketches,
+                             lambda ids: _elements_of(sets, ids))
     named = classes.join(labels, classes["class"] == labels["node"], "left").select(
         "class", "doc", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -148,6 +148,43 @@ def test_pairs_by_key_flushes_and_buckets(spark, monkeypatch):
     assert len(pairs) == 100 - 7 and len({p.key for p in pairs}) == 7
 
 
+def test_similar_sets_share_a_rare_element(spark):
+    rng = random.Random(30)
+    common, sets = range(60), []
+    for _ in range(12):  # families around the similarity, all with the same sixty elements
+        base = [rng.randrange(10**6) for _ in range(60)]
+        sets += [{*common, *base[: 60 - rng.randrange(16)], *(rng.randrange(10**6) for _ in range(rng.randrange(9)))} for _ in range(8)]
+    sets += [{*common, *(rng.randrange(10**6) for _ in range(60))} for _ in range(100)]
+    elements = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "id long, element long")
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "id long, size long")
+    found = {}
+    for r in C._prefixes(elements, sizes, 85).collect():
+        found.setdefault(r.id, set()).add(r.element)
+    similar = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(similar) > 50 and all(found[a] & found[b] for a, b in similar)
+    assert not any(found.get(i, set()) & {*common} for i in range(96, len(sets)))
+
+
+def test_rows_of_one_template_are_not_all_compared(make, monkeypatch):
+    """300 texts with a passage that gives them keys in common: 44,850 pairs by the key."""
+    rng = random.Random(31)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(30)]) for _ in range(300)]
+    texts += [t for words in (60, 40) for t in family(rng, 10, words, 2)]
+    compared, write = [], Staged.write
+
+    def spy(self, df, name):
+        found = write(self, df, name)
+        if name == "prefixes":
+            compared.append(sum(r["count"] * (r["count"] - 1) // 2 for r in found.groupBy("element").count().collect()))
+        return found
+
+    monkeypatch.setattr(Staged, "write", spy)
+    docs = list(enumerate(texts))
+    assert rows(N.near_duplicates(make(docs))[0]) == brute(docs)
+    assert compared and max(compared) < 3000
+
+
 def far_pairs(rng, percent, tries):
     """Pairs of texts just at `percent` that share a key although their signatures are further apart
     than MAX_DISTANCE."""
