@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortwise.llm import candidates as C, near_duplicates as N
-from cohortwise.llm.shared import Staged, utf8
+from cohortwise.llm.shared import SKETCHES, Staged, set_sketches, utf8
 
 from .conftest import SF
 
@@ -185,6 +185,26 @@ def test_rows_of_one_template_are_not_all_compared(make, monkeypatch):
     assert compared and max(compared) < 3000
 
 
+def test_near_copies_meet_about_once(spark):
+    """120 sets around one of 400 elements, each a component: their pairs have sixty rare elements in common, most
+    of them. All pairs of any common element are found, and hardly any of them twice."""
+    rng = random.Random(32)
+    base = [rng.randrange(1 << 40) for _ in range(400)]
+    sets = [{*rng.sample(base, 400 - rng.randrange(12)), *(rng.randrange(1 << 40) for _ in range(rng.randrange(12)))} for _ in range(120)]
+    sets += [{*base[:300], *(rng.randrange(1 << 40) for _ in range(100))} for _ in range(5)]
+    packed = [np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in sets]
+    sketch = np.stack(set_sketches(np.concatenate(packed), np.concatenate([[0], np.cumsum([len(s) for s in sets])])), axis=1)
+    sketches = spark.createDataFrame([(i, len(s), *map(int, k)) for i, (s, k) in enumerate(zip(sets, sketch))],
+                                     ", ".join(["id long, size long", *(f"{s} long" for s in SKETCHES)]))
+    elements = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "id long, element long")
+    able = C._prefixes(elements, sketches, 85).join(sketches, "id").withColumn("component", F.col("id")).cache()
+    found = [tuple(r) for r in C._met(able, "element", 85).collect()]
+    wanted = {tuple(r) for r in C._met(able.drop("earlier"), "element", 85).collect()}
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert len(similar) > 5000 and similar <= {*found} == wanted
+    assert len(found) < 2 * len(wanted)
+
+
 def far_pairs(rng, percent, tries):
     """Pairs of texts just at `percent` that share a key although their signatures are further apart
     than MAX_DISTANCE."""
